@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from findery.llm import byte_bpe, packing, topk_search
+from findery.llm import byte_bpe, packing, substring_dedup, topk_search, url_filter
 from findery.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_crc(packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE))
 
 
+def op2_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
@@ -30,7 +34,12 @@ def op9_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.token_matrix(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op3_byte_bpe, op8_exact_topk, op9_token_matrix)}
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = substring_dedup.remove_repeated_spans(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_removed", "text", F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pack, op2_url_models, op3_byte_bpe, op8_exact_topk, op9_token_matrix, op10_sentence_spans)}
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings
