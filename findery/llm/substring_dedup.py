@@ -1,7 +1,7 @@
 """Removal of repeated passages by sliding spans of sentences (operator 10).
 
-Each text is cut into sentences (also at clause marks and where a capital follows a lower-case word, as passages are
-pasted into the middle of sentences). From every sentence on, the shortest run of at least `SENTENCES` sentences and
+Each text is cut into sentences (also at clause marks, where a capital follows a lower-case word, as passages are
+pasted into the middle of sentences, and within run-ons). From every sentence on, the shortest run of at least `SENTENCES` sentences and
 `WORDS` words is hashed. A partial aggregation finds the hashes that occur more than once and their first place; a join
 brings them back to the places, and all sentences under a span that isn't the first of its hash go.
 """
@@ -9,6 +9,7 @@ brings them back to the places, and all sentences under a span that isn't the fi
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +22,35 @@ from findery.llm.common import saved
 
 SENTENCES = 3
 WORDS = 12
+LONG = 25
+WORD = re.compile(r"\s*\S+\s*")
 #: Ends a sentence: white space after a mark, or with a line break, or before a capital that follows a lower-case letter.
 BREAK = re.compile(r"((?<=[.!?;:,])\s+|\s*\n\s*|(?<=[a-zß-öø-ÿ])\s+(?=[A-ZÀ-ÖØ-Þ]))")
 
 
+def cut_long(sentence: str) -> list[str]:
+    """A run-on sentence cut after words picked by their own hash, so that equal passages are cut alike wherever they stand, and after LONG words at the latest."""
+    out, held = [], []
+    for word in WORD.findall(sentence):
+        held.append(word)
+        if len(held) >= LONG or zlib.crc32(word.strip().lower().encode()) % 6 == 0:
+            out.append("".join(held))
+            held = []
+    return [*out, "".join(held)] if held else out
+
+
 def sentences(text: str) -> tuple[list[str], list[str]]:
     """The sentences of a text and what stands after each, which together are the text."""
     parts = BREAK.split(text)
-    return parts[::2], [*parts[1::2], ""]
+    own, seps = parts[::2], [*parts[1::2], ""]
+    if all(p.count(" ") < LONG for p in own):
+        return own, seps
+    cut, after = [], []
+    for p, sep in zip(own, seps):
+        pieces = cut_long(p) if p.count(" ") >= LONG else [p]
+        cut += [x.rstrip() for x in pieces]
+        after += [x[len(x.rstrip()) :] for x in pieces[:-1]] + [pieces[-1][len(pieces[-1].rstrip()) :] + sep]
+    return cut, after
 
 
 def spans(parts: list[str], least: int = SENTENCES, words: int = WORDS) -> list[tuple[int, int]]:
