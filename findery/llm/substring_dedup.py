@@ -47,7 +47,7 @@ def sentences(text: str) -> tuple[list[str], list[str]]:
         return own, seps
     cut, after = [], []
     for p, sep in zip(own, seps):
-        pieces = cut_long(p) if p.count(" ") >= LONG else [p]
+        pieces = p.count(" ") >= LONG and cut_long(p) or [p]
         cut += [x.rstrip() for x in pieces]
         after += [x[len(x.rstrip()) :] for x in pieces[:-1]] + [pieces[-1][len(pieces[-1].rstrip()) :] + sep]
     return cut, after
