@@ -40,8 +40,8 @@ def partitions_for(df: DataFrame, rows: int, rows_each: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words of all texts in one run, and each text's offset in it (nulls: no words)."""
+def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The lower-cased words of all texts in one run, dictionary-coded, and each text's offset in it (nulls: no words)."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
     words, offsets = lists.flatten(), np.asarray(lists.offsets, np.int64)
@@ -50,9 +50,14 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not keep.all():
         offsets = np.concatenate(([0], np.cumsum(keep)))[offsets]
         words = words.filter(pa.array(keep))
-    coded = words.dictionary_encode()
+    return words.dictionary_encode(), offsets
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words and each text's offset, as in words_of."""
+    coded, offsets = words_of(texts)
     each = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return each[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64), offsets
+    return each[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.uint64), offsets
 
 
 def mix(x: np.ndarray) -> np.ndarray:
