@@ -18,14 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findery.llm.common import saved
+from findery.llm.common import mix, saved
 
 SENTENCES = 3
 WORDS = 12
 LONG = 25
 WORD = re.compile(r"\s*\S+\s*")
-#: Ends a sentence: white space after a mark, or with a line break, or before a capital that follows a lower-case letter.
-BREAK = re.compile(r"((?<=[.!?;:,])\s+|\s*\n\s*|(?<=[a-zß-öø-ÿ])\s+(?=[A-ZÀ-ÖØ-Þ]))")
+#: Ends a sentence: white space after a mark, or that is a line break, or before a capital that follows a lower-case letter.
+BREAK = re.compile(r"(\s(?:(?<=[.!?;:,]\s)|(?<=\n)|(?<=[a-zß-öø-ÿ]\s)(?=[A-ZÀ-ÖØ-Þ]))\s*)")
 
 
 def cut_long(sentence: str) -> list[str]:
@@ -53,18 +53,29 @@ def sentences(text: str) -> tuple[list[str], list[str]]:
     return cut, after
 
 
-def spans(parts: list[str], least: int = SENTENCES, words: int = WORDS) -> list[tuple[int, int]]:
-    """For each sentence the shortest run (first, end) of `least` sentences and `words` words from it on, if there is one."""
-    upto = np.cumsum([0, *(len(p.split()) for p in parts)])
-    n = len(parts)
-    first = np.arange(n)
-    end = np.maximum(first + least, np.searchsorted(upto, upto[:n] + words))
-    fits = end <= n
-    return [*zip(first[fits].tolist(), end[fits].tolist())]
+def spans(counts: np.ndarray, least: int = SENTENCES, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """First sentence and end of the shortest run of `least` sentences and `words` words from each sentence on, where there is one. counts: words by sentence."""
+    upto = np.concatenate(([0], np.cumsum(counts)))
+    first = np.arange(len(counts))
+    end = np.maximum(first + least, np.searchsorted(upto, upto[:-1] + words))
+    fits = end <= len(counts)
+    return first[fits], end[fits]
 
 
-def norm(part: str) -> str:
-    return " ".join(part.lower().split())
+POWER = 0x9E3779B97F4A7C15
+INVERSE = pow(POWER, -1, 1 << 64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def run_hashes(each: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of every run from those of its sentences, wherever it stands."""
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(each * powers(POWER, len(each)), dtype=np.uint64)))
+    return mix((upto[end] - upto[first]) * powers(INVERSE, len(each))[first] + (end - first).astype(np.uint64))
 
 
 def remove_repeated_spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
@@ -75,23 +86,29 @@ def remove_repeated_spans(docs: DataFrame, least: int = SENTENCES, words: int =
     empty; both have no spans, as have texts of fewer than `least` sentences or `words` words. A document may lose all its
     text and keeps its row. Columns named n_removed are replaced; others stay.
     """
+    words_least = words
     kept_columns = [c for c in docs.columns if c != "n_removed"]
     docs = docs.select(*kept_columns).withColumn("__key", F.xxhash64("doc_id", "text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            for doc, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            out: list[tuple] = []
+            for at, text in enumerate(batch.column(2).to_pylist()):
                 if not text:
                     continue
-                parts, _ = sentences(text)
-                if not (runs := spans(parts, least, words)):
-                    continue
-                clean = [*map(norm, parts)]
-                hashes = [xxhash.xxh3_64_intdigest("\n".join(clean[a:b])) for a, b in runs]
-                n = len(runs)
-                yield pa.record_batch([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array([a for a, _ in runs], pa.int32()), pa.array([b for _, b in runs], pa.int32())], names=["hash", "doc_id", "key", "first", "end"])
-
-    found = docs.select("doc_id", "__key", "text").mapInArrow(find, "hash long, doc_id long, key long, first int, end int")
+                words = [p.split() for p in sentences(text)[0]]
+                first, end = spans(np.fromiter(map(len, words), np.int64, len(words)), least, words_least)
+                if len(first):
+                    each = np.fromiter((digest(" ".join(w).lower()) for w in words), np.uint64, len(words))
+                    out.append((np.full(len(first), at), run_hashes(each, first, end), first, end))
+            if out:
+                row, hashes, first, end = map(np.concatenate, zip(*out))
+                rows = pa.array(row)
+                columns = [pa.array(hashes.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32))]
+                yield from pa.table(columns, names=["hash", "doc_id", "key", "first", "end"]).to_batches(max_chunksize=100_000)
+
+    found = saved(docs.select("doc_id", "__key", "text").mapInArrow(find, "hash long, doc_id long, key long, first int, end int"))
     repeated = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "first")).alias("place")).filter("n > 1")
     repeated = saved(repeated.select(F.col("hash").alias("h"), F.col("place.key").alias("first_key"), F.col("place.first").alias("first_at")))
     later = found.join(repeated, F.col("hash") == F.col("h")).filter((F.col("key") != F.col("first_key")) | (F.col("first") != F.col("first_at")))
