@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from findery.llm import byte_bpe, jaccard_join, packing, quality_lm, secret_scan, substring_dedup, topk_search, url_filter
+from findery.llm import byte_bpe, embedding_dedup, jaccard_join, packing, quality_lm, secret_scan, substring_dedup, topk_search, url_filter
 from findery.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +35,10 @@ def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.ngram_jaccard_join(table(spark, sf_dir, "documents")).drop("key")
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "length", "kind", F.sha2("value", 256).alias("value_sha256"), F.round("probability", 6).alias("probability"), "is_secret")
@@ -53,7 +57,7 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_removed", "text", F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_url_models, op3_byte_bpe, op4_kneser_ney, op5_chosen_path, op7_secret_forest, op8_exact_topk, op9_token_matrix, op10_sentence_spans)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_url_models, op3_byte_bpe, op4_kneser_ney, op5_chosen_path, op6_nn_descent, op7_secret_forest, op8_exact_topk, op9_token_matrix, op10_sentence_spans)}
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings
