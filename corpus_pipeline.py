@@ -1,11 +1,65 @@
-"""Corpus clean-up: quality, near copies, repeated passages, secrets, packing."""
+"""Corpus clean-up in five stages: quality, near copies, repeated passages, secrets, packing.
 
-STAGES: list = []
-ORACLE_SQL = None
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return
+the columns of documents. run() writes what a stage returns to the shared folder and reads it back for the next one.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from findery.llm import jaccard_join, packing, quality_lm, secret_scan, substring_dedup
+from findery.llm.common import saved, table
+
+
+def _key(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text where the table has it."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the Kneser-Ney classifier rejects, and those without words."""
+    kept = quality_lm.classify(docs, table(spark, sf_dir, "labels")).filter("kept").select(F.col("key").alias("__key")).distinct()
+    return _key(docs).join(kept, "__key", "left_semi").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the smallest doc_id stays; repeated rows are copies."""
+    found = jaccard_join.ngram_jaccard_join(docs)
+    group = F.coalesce(F.col("class_id").cast("string"), F.concat(F.lit("key "), "key"))
+    first = found.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    stays = first.select(F.col("first.key").alias("__key")).distinct()
+    return _key(docs).join(stays, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes repeated passages; a document of which nothing is left goes."""
+    cut = substring_dedup.remove_repeated_spans(docs).filter("n_removed = 0 or trim(text) <> ''")
+    return _counted(cut.select(*docs.columns))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks the secrets that the forest confirms."""
+    return _counted(secret_scan.redact(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences; one row per piece."""
+    return packing.with_crc(packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_copies), ("substring dedup", passages), ("secret scans", secrets), ("packing", pack)]
+ORACLE_SQL = None  # models and token ids can't be said in SQL; the tests run each stage against brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
