@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findery.llm.common import groups, saved
@@ -15,23 +15,30 @@ CHUNK = 64
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of undirected edges (a, b); a component is named by its smallest node.
+    """(node, component) for every node of undirected edges (a, b); a component is named by one of its nodes.
 
-    Each round takes the smallest label of the neighbours and then the label's own label, so paths shrink by half; rounds
-    are written to the shared folder. Groupings are partial sums before the shuffle and joins are plain, so that hubs
-    are split; nothing but a count reaches the driver.
+    Rounds of contraction: every node takes the smallest of itself and its neighbours as its label, edges between labels
+    are the next round's graph. Node ids must be hashes, so that a constant share of the nodes goes in each round. Minima
+    are partial aggregates and joins are plain, so hubs are split; rounds are written to the shared folder, and nothing
+    but the question whether edges are left reaches the driver.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = saved(both)
-    labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        pulled = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        of = labels.select(F.col("node").alias("top"), F.col("label").alias("its"))
-        after = saved(pulled.join(of, pulled.label == of.top, "left").select("node", "was", F.least("label", F.coalesce("its", "label")).alias("label")))
-        labels = after.select("node", "label")
-        if after.filter("was <> label").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+
+    def paired(x: Column, y: Column) -> list[Column]:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    left = saved(edges.select(*paired(F.col("a"), F.col("b"))).filter("a <> b").distinct())
+    labels = None
+    while labels is None or not left.isEmpty():
+        ends = left.select(F.col("a").alias("node"), F.col("b").alias("next")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("next")))
+        step = saved(ends.groupBy("node").agg(F.min("next").alias("next")).select("node", F.least("node", "next").alias("component")))
+        of_a, of_b = step.select(F.col("node").alias("a"), F.col("component").alias("x")), step.select(F.col("node").alias("b"), F.col("component").alias("y"))
+        left = saved(left.join(of_a, "a").join(of_b, "b").filter("x <> y").select(*paired(F.col("x"), F.col("y"))).distinct())
+        if labels is None:
+            labels = step
+        else:
+            later = step.select(F.col("node").alias("component"), F.col("component").alias("final"))
+            labels = saved(labels.join(later, "component", "left").select("node", F.coalesce("final", "component").alias("component")))
+    return labels
 
 
 def local_roots(linked: np.ndarray) -> np.ndarray:
@@ -86,5 +93,5 @@ def links_within(members: DataFrame, payload: str, matrix: Callable[[list[bytes]
         if out:
             yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=["rec", "add", "root"])
 
-    found = saved(dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(link, "rec long, add long, root long"))
+    found = saved(dealt.repartition(parts, *keys).sortWithinPartitions(*keys, "rec").mapInArrow(link, "rec long, add long, root long"))
     return found.groupBy("rec").agg(F.sum("add").alias("n_links")), found.select(F.col("rec").alias("a"), F.col("root").alias("b")).filter("a <> b").distinct()

@@ -117,7 +117,7 @@ def candidates(keyed: DataFrame, keys: list[str], least: int, parts: int) -> Dat
         if left:
             yield pa.record_batch([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
-    return keyed.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+    return keyed.repartition(parts, *keys).sortWithinPartitions(*keys, "rec").mapInArrow(compare, "a long, b long")
 
 
 def only_low(state: DataFrame) -> DataFrame:
