@@ -56,8 +56,8 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
 
 def scores_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query ids, candidate ids and the matrix of exact scores; a query's own row is masked as the lowest long."""
-    q_ids, c_ids, dim = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8"), row["dim"]
-    q, c = np.frombuffer(row["q_vectors"], "<f8").reshape(len(q_ids), dim), np.frombuffer(row["vectors"], "<f8").reshape(len(c_ids), dim)
+    q_ids, c_ids, dim = row["q_ids"], np.frombuffer(row["ids"], "<i8"), row["dim"]
+    q, c = row["q_vectors"].reshape(len(q_ids), dim), np.frombuffer(row["vectors"], "<f8").reshape(len(c_ids), dim)
     most = (np.abs(q).max(initial=0) * np.abs(c).max(initial=0) + 1) * max(dim, 1)
     s = (q @ c.T).astype(np.int64) if most < EXACT else q.astype(np.int64) @ c.astype(np.int64).T
     s[q_ids[:, None] == c_ids[None, :]] = np.iinfo(np.int64).min
@@ -79,7 +79,7 @@ def ranges(row: dict) -> dict:
 def histogram(row: dict) -> dict:
     """Counts by bin from the top, as far as the block alone would need; bins below can't hold a kth value of the whole."""
     q, _, s = scores_of(row)
-    low, high, need = (np.frombuffer(row[k], "<i8") for k in ("q_low", "q_high", "q_need"))
+    low, high, need = (row[k] for k in ("q_low", "q_high", "q_need"))
     width = -(-(high - low + 1) // BINS)
     out_q, out_bin, out_n = [], [], []
     for i in range(len(q)):
@@ -100,7 +100,7 @@ def histogram(row: dict) -> dict:
 def reached(k: int):
     def best(row: dict) -> dict:
         q, c, s = scores_of(row)
-        low = np.frombuffer(row["q_low"], "<i8")
+        low = row["q_low"]
         out = []
         for i in range(len(q)):
             at = np.flatnonzero((s[i] >= low[i]) & (s[i] != OWN))
@@ -132,29 +132,19 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 25
     def paired(state: DataFrame | None) -> DataFrame:
         """Candidate blocks beside each query block, with the queries' present ranges."""
         names = [] if state is None else ["q_low", "q_high", "q_need"]
-        q = numbered if state is None else numbered.join(state, numbered.vec_id == state.query_id).drop("query_id")
-
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                t = pa.Table.from_batches([batch])
-                qb, dim = t.column("qb").to_numpy(), t.column("dim").to_numpy()
-                for key in sorted({*zip(qb.tolist(), dim.tolist())}):
-                    at = pa.array(np.flatnonzero((qb == key[0]) & (dim == key[1])))
-                    part = t.take(at)
-                    cols = [part.column("vec_id").to_numpy().astype("<i8").tobytes(), part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()]
-                    cols += [part.column(n).to_numpy().astype("<i8").tobytes() for n in names]
-                    yield pa.record_batch([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), *(pa.array([c], pa.binary()) for c in cols)], names=["qb", "dim", "q_ids", "q_vectors", *names])
-
-        schema = "qb int, dim int, q_ids binary, q_vectors binary" + "".join(f", {n} binary" for n in names)
-        packed = q.repartition(n_blocks, "qb").mapInArrow(pack, schema)
-        packed = packed.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+        q = numbered if state is None else numbered.join(state, numbered.vec_id == state.query_id)
+        gathered = q.groupBy("qb", "dim").agg(F.collect_list(F.struct("vec_id", "v", *names)).alias("q"))
+        columns = [F.col("q.vec_id").alias("q_ids"), F.flatten("q.v").alias("q_vectors"), *(F.col(f"q.{n}").alias(n) for n in names)]
+        packed = gathered.select("qb", "dim", *columns, F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("g"))
         return sent.join(packed, ["qb", "g", "dim"])
 
     def passed(state, work, schema):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for j in range(batch.num_rows):
-                    yield pa.record_batch({k: pa.array(v, pa.int64()) for k, v in work(batch.slice(j, 1).to_pylist()[0]).items()})
+                    cells = {n: batch.column(n)[j] for n in batch.schema.names}
+                    row = {n: c.values.to_numpy(zero_copy_only=False) if isinstance(c, pa.ListScalar) else c.as_py() for n, c in cells.items()}
+                    yield pa.record_batch({n: pa.array(v, pa.int64()) for n, v in work(row).items()})
 
         return paired(state).mapInArrow(run, schema)
 
