@@ -20,6 +20,9 @@ def ranked(scores: DataFrame, rows: int | None = None) -> DataFrame:
     order = [F.desc("score"), F.asc("doc_id")]
     if rows is None or rows <= ONE_TASK_ROWS:
         return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long"))
+    context = scores.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir("/tmp/checkpoints")  # where none is set, as in tests
     parts = max(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ONE_TASK_ROWS))
     dealt = scores.repartitionByRange(parts, F.asc("query_id"), *order).withColumn("range", F.spark_partition_id()).checkpoint()
     lengths = dealt.groupBy("query_id", "range").agg(F.count(F.lit(1)).alias("length"))
