@@ -16,6 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from findery.llm.common import saved
+
 NAMES = r"(?i:(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)[a-z0-9_-]{0,20})"
 #: Public key formats.
 FORMATS = {
@@ -81,15 +83,17 @@ def generated_findings(spark: SparkSession, each: int = 250) -> DataFrame:
     false = [F.concat(name, sign, x) for x in false] + [F.concat(F.lit("AKIA"), F.upper(F.substring(alnum, 1, 9)), F.lit("EXAMPLE")), F.concat(F.lit("sk_test_"), F.repeat(F.lit("x"), 24))]
     context = pick("before", "the code sets ", "deploy with ", "config: ", "and then ", "")
     doubtful = pick("doubt", "for example ", "a sample, ", "in this test ", "dummy value ", "template: ")
-    rows = spark.range(each)
-    parts = [rows.select(x.alias("match"), context.alias("before"), F.when(x.contains("\""), "\" and").otherwise(" and").alias("after"), F.lit(1.0).alias("label")) for x in true]
-    parts += [rows.select(x.alias("match"), F.when(F.pmod(F.xxhash64("id"), F.lit(2)) == 0, context).otherwise(doubtful).alias("before"), F.when(x.contains("\""), "\" and").otherwise(" and").alias("after"), F.lit(0.0).alias("label")) for x in false]
-    return reduce(DataFrame.unionAll, parts)
+    every, n_true = [*true, *false], len(true)
+    rows = spark.range(0, each * len(every), 1, 4).select(F.expr(f"id div {len(every)}").alias("id"), (F.col("id") % len(every)).cast("int").alias("kind"))
+    rows = rows.withColumn("match", F.get(F.array(*every), F.col("kind")))
+    plain = (F.col("kind") < n_true) | (F.pmod(F.xxhash64("id"), F.lit(2)) == 0)
+    return rows.select("match", F.when(plain, context).otherwise(doubtful).alias("before"), F.when(F.col("match").contains("\""), "\" and").otherwise(" and").alias("after"), F.when(F.col("kind") < n_true, 1.0).otherwise(0.0).alias("label"))
 
 
 def train_forest(findings: DataFrame, sample: int = SAMPLE) -> PipelineModel:
     """A forest from labelled findings (match, before, after, label 0 or 1): at most `sample` of them, those of the smallest hashes."""
-    rows = with_features(findings.filter("label is not null")).orderBy(F.xxhash64("match", "before"), "match", "before", "after", "label").limit(sample).select(*FEATURES, "label")
+    rows = with_features(saved(findings.filter("label is not null"))).orderBy(F.xxhash64("match", "before"), "match", "before", "after", "label").limit(sample).select(*FEATURES, "label")
+    rows = saved(rows)  # the forest reads them several times
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label").fit(assembler.transform(rows))
     return PipelineModel([assembler, forest])
