@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findery.llm import jaccard_join, packing, quality_lm, secret_scan, substring_dedup
-from findery.llm.common import saved, table
+from findery.llm.common import saved, small_batches, table
 
 
 def _key(docs: DataFrame) -> DataFrame:
@@ -25,12 +25,14 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the Kneser-Ney classifier rejects, and those without words."""
+    small_batches(spark)
     kept = quality_lm.classify(docs, table(spark, sf_dir, "labels")).filter("kept").select(F.col("key").alias("__key")).distinct()
     return _key(docs).join(kept, "__key", "left_semi").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest doc_id stays; repeated rows are copies."""
+    small_batches(spark)
     found = jaccard_join.ngram_jaccard_join(docs)
     group = F.coalesce(F.col("class_id").cast("string"), F.concat(F.lit("key "), "key"))
     first = found.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
@@ -40,17 +42,20 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated passages; a document of which nothing is left goes."""
+    small_batches(spark)
     cut = substring_dedup.remove_repeated_spans(docs).filter("n_removed = 0 or trim(text) <> ''")
     return _counted(cut.select(*docs.columns))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks the secrets that the forest confirms."""
+    small_batches(spark)
     return _counted(secret_scan.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences; one row per piece."""
+    small_batches(spark)
     return packing.with_crc(packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 

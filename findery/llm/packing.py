@@ -21,7 +21,7 @@ from findery.llm.word_bpe import word_bpe
 
 CAPACITY = 4096
 EOS = 2
-WINDOW_TOKENS = 1 << 23
+WINDOW_TOKENS = 1 << 21
 SEQUENCES_PER_PARTITION = 1 << 33
 
 

@@ -24,8 +24,8 @@ import regex
 #: The vocabulary's pre-token pattern.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = b"\xff"  # stands for the end-of-word suffix; never part of UTF-8
-KEPT_CHUNKS = 1_500_000
-KEPT_BYTES = 120_000_000
+KEPT_CHUNKS = 250_000
+KEPT_BYTES = 25_000_000
 ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")
 
 

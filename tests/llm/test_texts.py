@@ -63,7 +63,10 @@ def brute_perplexities(spark, rows, labels, vocabulary):
     trusted = {i for i, q, t in labels if q == 1 and not t and i is not None} - bad
     train = [(r[1] or "").lower().split() for r in rows if r[0] in trusted and r[0] not in held]
     n = Counter(w for t in train for w in t)
-    known = {w for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[: vocabulary - 2]}
+    known = set()
+    for least in sorted(set(n.values()), reverse=True):  # words of equal count together
+        if sum(c >= least for c in n.values()) <= vocabulary - 2:
+            known = {w for w, c in n.items() if c >= least}
     seq = lambda t: ["<s>", *(w if w in known else "<unk>" for w in t)]
     pairs = Counter(p for t in train for p in zip(seq(t)[:-1], seq(t)[1:]))
     total, kinds, follow = Counter(), {}, Counter()

@@ -116,13 +116,13 @@ def test_empty_tables(spark):
     assert packing.pack_documents(none, WORDS).count() == packing.token_matrix(none, WORDS).count() == byte_bpe.encode_documents(none, RANKS, P.PATTERN).count() == 0
 
 
-def reference():
+def libraries():
     own = byte_bpe.pieces(RANKS, P.PATTERN)
     return own, tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.bpe.ranks, special_tokens={})
 
 
 def test_byte_ids_equal_the_library():
-    own, library = reference()
+    own, library = libraries()
     for text in [x for x in TEXTS if x] + fuzz(20_000, 2):
         ids, n, back = own.encode(text)
         want = library.encode_ordinary(text)
@@ -130,7 +130,7 @@ def test_byte_ids_equal_the_library():
 
 
 def test_byte_strings_that_are_not_text():
-    own, library = reference()
+    own, library = libraries()
     r = random.Random(3)
     for _ in range(5000):
         data = bytes(r.choice(b"\x80\xc3\xa9 aAthe\xe4\xff0ab") for _ in range(r.randint(1, 20)))
@@ -138,7 +138,7 @@ def test_byte_strings_that_are_not_text():
 
 
 def test_appends_and_edits_reuse_prefixes():
-    bpe = reference()[0].bpe
+    bpe = libraries()[0].bpe
     data, last = b" rethink", bpe.extend(b" rethink", [-1])
     longer, grown = bpe.append(data, last[:], b"ingly")
     assert bpe.read(longer, grown) == bpe.encode(longer) and grown[: len(last)] == last
@@ -150,7 +150,7 @@ def test_appends_and_edits_reuse_prefixes():
 def test_encode_documents(spark):
     import hashlib
 
-    library = reference()[1]
+    library = libraries()[1]
     rows = {r.doc_id: r for r in byte_bpe.encode_documents(frame(spark, TEXTS), RANKS, P.PATTERN, with_ids=True).collect()}
     for i, text in enumerate(TEXTS):
         want = library.encode_ordinary(text or "")
