@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from findery.llm.common import groups, saved
+from findery.llm.common import groups, saved, tidy
 
 CHUNK = 64
 
@@ -93,5 +93,5 @@ def links_within(members: DataFrame, payload: str, matrix: Callable[[list[bytes]
         if out:
             yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=["rec", "add", "root"])
 
-    found = saved(dealt.repartition(parts, *keys).sortWithinPartitions(*keys, "rec").mapInArrow(link, "rec long, add long, root long"))
+    found = saved(dealt.repartition(parts, *keys).sortWithinPartitions(*keys, "rec").mapInArrow(tidy(link), "rec long, add long, root long"))
     return found.groupBy("rec").agg(F.sum("add").alias("n_links")), found.select(F.col("rec").alias("a"), F.col("root").alias("b")).filter("a <> b").distinct()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findery.llm.clusters import components, links_within, local_roots
-from findery.llm.common import SHINGLE_WORDS, SIMILARITY, groups, mix, saved, shingle_sets
+from findery.llm.common import SHINGLE_WORDS, SIMILARITY, groups, mix, saved, shingle_sets, tidy
 
 COORDINATES = 64
 BUCKET = 1024
@@ -70,7 +70,7 @@ def records_of(docs: DataFrame, n: int) -> DataFrame:
                     sigs.append(minhash(s).tobytes() if len(s) else None)
                 yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(recs, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "key", "rec", "sig"])
 
-    return docs.mapInArrow(sets, "doc_id long, key long, rec long, sig binary")
+    return docs.mapInArrow(tidy(sets), "doc_id long, key long, rec long, sig binary")
 
 
 def split(state: DataFrame, similarity: float) -> DataFrame:
@@ -85,7 +85,7 @@ def split(state: DataFrame, similarity: float) -> DataFrame:
                 at = pa.array(row)
                 yield pa.record_batch([pa.array(path.view(np.int64)), batch.column("rec").take(at), batch.column("sig").take(at)], names=["path", "rec", "sig"])
 
-    return state.select("path", "rec", "sig").mapInArrow(down, "path long, rec long, sig binary")
+    return state.select("path", "rec", "sig").mapInArrow(tidy(down), "path long, rec long, sig binary")
 
 
 def candidates(keyed: DataFrame, keys: list[str], least: int, parts: int) -> DataFrame:
@@ -117,7 +117,7 @@ def candidates(keyed: DataFrame, keys: list[str], least: int, parts: int) -> Dat
         if left:
             yield pa.record_batch([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
-    return keyed.repartition(parts, *keys).sortWithinPartitions(*keys, "rec").mapInArrow(compare, "a long, b long")
+    return keyed.repartition(parts, *keys).sortWithinPartitions(*keys, "rec").mapInArrow(tidy(compare), "a long, b long")
 
 
 def only_low(state: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def only_low(state: DataFrame) -> DataFrame:
             flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDINATES), batch.num_rows, [None, pa.py_buffer(low8)]).cast(pa.binary())
             yield pa.record_batch([batch.column("path"), batch.column("rec"), flat], names=["path", "rec", "low"])
 
-    return state.mapInArrow(low, "path long, rec long, low binary")
+    return state.mapInArrow(tidy(low), "path long, rec long, low binary")
 
 
 def chosen_paths(records: DataFrame, similarity: float, target: float) -> DataFrame:
@@ -213,7 +213,7 @@ def ngram_jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, n: int =
                 sets = [s.astype("<u8").tobytes() for s in shingle_sets(batch.column("text"), n)]
                 yield pa.record_batch([batch.column("cluster"), batch.column("rec"), batch.column("size"), pa.array(sets, pa.binary())], names=["cluster", "rec", "size", "set"])
 
-    members = saved(texts.mapInArrow(with_sets, "cluster long, rec long, size long, set binary").dropDuplicates(["rec"]))
+    members = saved(texts.mapInArrow(tidy(with_sets), "cluster long, rec long, size long, set binary").dropDuplicates(["rec"]))
     links, spans = links_within(members, "set", jaccard_matrix(similarity))
     parts_of = components(spans)
     named = parts_of.join(classes, parts_of.node == classes.rec).select("rec", "component", F.struct(F.col("first.none").alias("none"), F.col("first.doc_id").alias("doc_id")).alias("first"))

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from findery.llm.common import tidy
 from findery.llm.word_bpe import word_bpe
 
 CAPACITY = 4096
@@ -129,8 +130,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eo
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in packed_windows(batches, word_bpe(tokenizer).encode, capacity, eos, window_tokens):
             yield from t.to_batches(max_chunksize=8192)
+        word_bpe(tokenizer).forget()
 
-    return docs.select("doc_id", "text").mapInArrow(pack, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(pack), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def token_matrix(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eos: int = EOS, window_tokens: int = WINDOW_TOKENS) -> DataFrame:
@@ -164,8 +166,9 @@ def token_matrix(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eos:
                     out = [[] for _ in MATRIX]
             if out[0]:
                 yield pa.record_batch(out, schema=MATRIX)
+        word_bpe(tokenizer).forget()
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "sequence_id long, n_tokens int, input_ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, starts array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(rows), "sequence_id long, n_tokens int, input_ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, starts array<long>")
 
 
 def write_token_matrix(matrix: DataFrame, path: str) -> None:
@@ -182,7 +185,7 @@ def read_token_matrix(spark, path: str) -> DataFrame:
                 cu = row["cu_seqlens"]
                 yield pa.record_batch([pa.array(row["doc_ids"], pa.int64()), pa.array(row["starts"], pa.int64()), pa.array([ids[a:b].tolist() for a, b in zip(cu[:-1], cu[1:])], pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
 
-    return spark.read.parquet(path).mapInArrow(cut, "doc_id long, start long, ids array<int>")
+    return spark.read.parquet(path).mapInArrow(tidy(cut), "doc_id long, start long, ids array<int>")
 
 
 def with_crc(pieces: DataFrame) -> DataFrame:

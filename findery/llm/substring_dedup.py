@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findery.llm.common import mix, saved
+from findery.llm.common import mix, saved, tidy
 
 SENTENCES = 3
 WORDS = 12
@@ -108,7 +108,7 @@ def remove_repeated_spans(docs: DataFrame, least: int = SENTENCES, words: int =
                 columns = [pa.array(hashes.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32))]
                 yield from pa.table(columns, names=["hash", "doc_id", "key", "first", "end"]).to_batches(max_chunksize=100_000)
 
-    found = saved(docs.select("doc_id", "__key", "text").mapInArrow(find, "hash long, doc_id long, key long, first int, end int"))
+    found = saved(docs.select("doc_id", "__key", "text").mapInArrow(tidy(find), "hash long, doc_id long, key long, first int, end int"))
     repeated = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "first")).alias("place")).filter("n > 1")
     repeated = saved(repeated.select(F.col("hash").alias("h"), F.col("place.key").alias("first_key"), F.col("place.first").alias("first_at")))
     later = found.join(repeated, F.col("hash") == F.col("h")).filter((F.col("key") != F.col("first_key")) | (F.col("first") != F.col("first_at")))
@@ -139,4 +139,4 @@ def remove_repeated_spans(docs: DataFrame, least: int = SENTENCES, words: int =
     from pyspark.sql import types as T
 
     schema = T.StructType([*(docs.schema[c] for c in kept_columns), T.StructField("n_removed", T.LongType())])
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(tidy(cut), schema)

@@ -76,13 +76,17 @@ class WordBpe(dict):
     def __missing__(self, chunk: str) -> bytes:
         ids = self.merged(chunk)
         if self.size > KEPT_BYTES or len(self) >= KEPT_CHUNKS:
-            self.clear()
-            self.size = 0
+            self.forget()
         if len(chunk) <= 64:
             self.size += len(chunk) + len(ids)
             self[chunk] = ids
         return ids
 
+    def forget(self) -> None:
+        """Empties the cache of chunks; the vocabulary stays."""
+        self.clear()
+        self.size = 0
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
