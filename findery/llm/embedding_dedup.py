@@ -3,9 +3,12 @@
 Equal vectors under one label are one record. A neighbour graph starts from windows of rows sorted by random
 hyperplane codes, then is refined: each record's neighbours are compared with one another (neighbours of neighbours),
 as long as at least one of a pair is new, and lists keep their best. A list whose last entry reaches the threshold is
-saturated and doubles, ENLARGE times at most; beyond, the exact pass takes over. Edges near the threshold join records
-to clusters, in which every pair is decided by its cosine in double precision. A sample audits the recall against all
-rows; under RECALL the graph is refined again from new windows.
+saturated and doubles, ENLARGE times at most. Edges near the threshold join records to clusters. Lists that end
+saturated don't show what lies beyond them, so a cluster's saturated records are a ball (a centre and the largest angle
+to it), and every record outside the cluster that the triangle inequality lets link into the ball is compared with its
+records. In the clusters so joined every pair is decided by its cosine in double precision. A sample audits the recall
+against all rows; under RECALL the graph is refined again from new windows, and in the end all pairs of a label are
+compared.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findery.llm.clusters import components, links_within
-from findery.llm.common import groups, saved
+from findery.llm.common import groups, saved, tidy
 
 THRESHOLD = 0.93
 NEIGHBOURS = 8
@@ -32,6 +35,7 @@ ERROR = 0.02  # of the 8-bit cosine that guides the search
 AUDIT = 256
 RECALL = 0.99
 MOST_ATTEMPTS = 3
+BALLS, VISITORS = 256, 4096  # compared at once
 SCALE = 127.0
 
 
@@ -146,10 +150,11 @@ def best_lists(edges: DataFrame, k: int, threshold: float) -> DataFrame:
     return edges.repartition(parts, "u").sortWithinPartitions("u", F.desc("s"), "v", "fresh").mapInArrow(keep, edges.schema)
 
 
-def refined(graph: DataFrame, records: DataFrame, threshold: float) -> DataFrame:
-    """New edges from comparing each record's neighbours with one another, both ways, where they beat the end of the list."""
+def refined(graph: DataFrame, records: DataFrame, k: int, threshold: float) -> DataFrame:
+    """New edges from comparing each record's neighbours with one another, both ways, where they beat the end of the list, or reach the threshold and the list is saturated and has room."""
     parts = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ends = graph.groupBy("u").agg(F.min("s").alias("worst"), F.max("fresh").alias("any"))
+    room = (F.min("s") >= threshold - ERROR) & (F.count(F.lit(1)) < k << ENLARGE)
+    ends = graph.groupBy("u").agg(F.when(room, F.lit(threshold - ERROR)).otherwise(F.min("s")).alias("worst"), F.max("fresh").alias("any"))
     lists = graph.join(ends.filter("any").select(F.col("u").alias("w")), F.col("u") == F.col("w"), "left_semi")
     known = records.select(F.col("rec").alias("r"), "low").join(ends.select(F.col("u").alias("e"), "worst"), F.col("r") == F.col("e"), "left").drop("e")
     sent = lists.join(known, lists.v == known.r).select("u", "v", "fresh", "low", "worst")
@@ -182,7 +187,7 @@ def nn_descent(records: DataFrame, n: int, most_of_label: int, seed: int, k: int
     bits = int(np.clip(np.ceil(np.log2(max(1, most_of_label) / (WINDOW / 2))), 1, 40))
     graph = saved(best_lists(first_graph(records, bits, seed, k).withColumn("fresh", F.lit(True)), k, threshold))
     for _ in range(ROUNDS):
-        merged = graph.withColumn("fresh", F.lit(False)).unionByName(refined(graph, records, threshold))
+        merged = graph.withColumn("fresh", F.lit(False)).unionByName(refined(graph, records, k, threshold))
         graph = saved(best_lists(merged, k, threshold))
         if graph.filter("fresh").count() <= SETTLED * n * k:
             break
@@ -197,6 +202,50 @@ def cosine_matrix(threshold: float):
     return matrix
 
 
+def settled(graph: DataFrame, clusters: DataFrame, records: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b) between clusters (node, component): all that the records of saturated lists have with records outside their cluster, or a way between them."""
+    parts = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = graph.groupBy("u").agg(F.min("s").alias("worst")).filter(F.col("worst") >= threshold - ERROR).select(F.col("u").alias("rec"))
+    of = records.select("rec", "label", "dim", "vec").join(clusters.withColumnRenamed("node", "rec"), "rec", "left")
+    inside = saved(of.join(full, "rec").filter("component is not null"))
+    centres = inside.groupBy("component").agg(F.min_by("vec", "rec").alias("centre"))
+
+    def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cos = [np.frombuffer(a, "<f8") @ np.frombuffer(b, "<f8") for a, b in zip(batch.column("vec").to_pylist(), batch.column("centre").to_pylist())]
+            yield pa.record_batch([*(batch.column(c) for c in ("component", "label", "dim", "centre")), pa.array(np.arccos(np.clip(np.array(cos, float), -1, 1)))], names=["component", "label", "dim", "centre", "angle"])
+
+    away = inside.join(centres, "component").select("component", "label", "dim", "vec", "centre").mapInArrow(angles, "component long, label long, dim int, centre binary, angle double")
+    balls = saved(away.groupBy("component", "label", "dim").agg(F.first("centre").alias("vec"), F.max("angle").alias("radius")))
+    keys = ["label", "dim", "i", "j"]
+    chunks = balls.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / BALLS).cast("int").alias("of_balls"))
+    chunks = chunks.join(records.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("of_records")), ["label", "dim"])
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda c, n: F.pmod(F.xxhash64(c, F.lit("chunk")), F.col(n)).cast("int")
+    left = balls.join(chunks, ["label", "dim"]).withColumn("i", one("component", "of_balls")).withColumn("j", each("of_records"))
+    right = of.join(chunks, ["label", "dim"]).withColumn("j", one("rec", "of_records")).withColumn("i", each("of_balls"))
+    both = left.select(*keys, F.lit(None).cast("long").alias("rec"), "component", "vec", "radius").unionByName(right.select(*keys, "rec", "component", "vec", F.lit(None).cast("double").alias("radius")))
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, keys):
+            ball = np.asarray(t.column("rec").is_null())
+            if not ball.any() or ball.all():
+                continue
+            x = np.frombuffer(b"".join(t.column("vec").to_pylist()), "<f8").reshape(t.num_rows, -1)
+            # -1 for no cluster can't be told from a hash of -1, so the mask counts too
+            alone, component = np.asarray(t.column("component").is_null()), t.column("component").fill_null(-1).to_numpy()
+            least = np.cos(np.minimum(np.pi, t.column("radius").to_numpy()[ball] + np.arccos(threshold))) - 1e-6
+            near = (x[~ball] @ x[ball].T >= least) & (alone[~ball, None] | (component[~ball, None] != component[None, ball]))
+            r, b = np.nonzero(near)
+            yield pa.record_batch([t.column("rec").combine_chunks().take(pa.array(np.flatnonzero(~ball)[r])), pa.array(component[ball][b])], names=["rec", "cluster"])
+
+    visits = saved(both.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(tidy(reach), "rec long, cluster long"))
+    visited = visits.select("cluster").distinct()
+    at_home = inside.join(visited, F.col("component") == F.col("cluster"), "left_semi").select("rec", F.col("component").alias("cluster"), "vec")
+    members = at_home.unionByName(visits.join(records.select("rec", "vec"), "rec").select("rec", "cluster", "vec"))
+    return links_within(members.withColumn("size", F.lit(1).cast("long")), "vec", cosine_matrix(threshold))[1]
+
+
 def audited(rows: DataFrame, by_rec: DataFrame, threshold: float) -> float:
     """Recall of a sample of at most AUDIT records' links, those of the smallest hashes, against all rows."""
     sample = by_rec.join(rows.select("rec", "label", "dim", "vec").dropDuplicates(["rec"]), "rec").orderBy(F.xxhash64("rec", F.lit("audit")), "rec").limit(AUDIT).collect()
@@ -236,11 +285,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
     n = records.count()
     most = records.groupBy("label").count().agg(F.max("count")).head()[0] or 0
     graph, by_rec = None, None
-    for attempt in range(MOST_ATTEMPTS):
-        more = nn_descent(records, n, most, attempt + 1, k << attempt, threshold)
-        graph = more if graph is None else graph.unionByName(more)
-        edges = graph.filter(F.col("s") >= threshold - ERROR).select(F.col("u").alias("a"), F.col("v").alias("b"))
-        clusters = components(edges)
+    for attempt in range(MOST_ATTEMPTS + 1):
+        if attempt < MOST_ATTEMPTS:
+            more = nn_descent(records, n, most, attempt + 1, k << attempt, threshold)
+            graph = more if graph is None else graph.unionByName(more)
+            edges = graph.filter(F.col("s") >= threshold - ERROR).select(F.col("u").alias("a"), F.col("v").alias("b"))
+            clusters = components(edges)
+            clusters = components(edges.unionByName(settled(graph, clusters, records, threshold)))
+        else:
+            clusters = records.select(F.col("rec").alias("node"), F.xxhash64("label", "dim").alias("component"))
         members = clusters.join(records, clusters.node == records.rec).select(F.col("component").alias("cluster"), "rec", "size", "vec")
         links, spans = links_within(members, "vec", cosine_matrix(threshold))
         parts_of = components(spans)
@@ -249,7 +302,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
         group_of = named.join(heads, "component").select("rec", F.col("least.vec_id").alias("component_id"))
         all_ = records.select("rec", F.col("first.vec_id").alias("own"), "size").join(links, "rec", "left").join(group_of, "rec", "left")
         by_rec = saved(all_.select("rec", F.coalesce("component_id", "own").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links")))
-        if audited(rows, by_rec, threshold) >= RECALL:
+        if attempt == MOST_ATTEMPTS or audited(rows, by_rec, threshold) >= RECALL:
             break
     out = rows.select("vec_id", "rec").join(by_rec, "rec", "left")
     own = F.when(F.col("rec").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))

@@ -133,6 +133,29 @@ def test_nn_descent_equals_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def two_tight_groups(n=200):
+    """Groups of n close records each, whose centres have a cosine of 0.95: every list is full of its own group."""
+    r = np.random.default_rng(6)
+    a, b = np.eye(16)[0], 0.95 * np.eye(16)[0] + np.sqrt(1 - 0.95**2) * np.eye(16)[1]
+    return [(i, ((a if i < n else b) + r.normal(size=16) * 0.001).tolist(), 0) for i in range(2 * n)]
+
+
+def test_saturated_groups_meet(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "MOST_ATTEMPTS", 1)
+    monkeypatch.setattr(embedding_dedup, "audited", lambda *a: 1.0)  # by the graph and the balls, not by the exact way out
+    far = np.random.default_rng(8).normal(size=(100, 16)).tolist()
+    df = spark.createDataFrame([*two_tight_groups(), *((1000 + i, v, 0) for i, v in enumerate(far))], "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.near_duplicates(df).filter("vec_id < 1000").collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(399, 0)}
+
+
+def test_recall_not_reached_ends_in_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "MOST_ATTEMPTS", 1)
+    monkeypatch.setattr(embedding_dedup, "nn_descent", lambda records, *a: records.sparkSession.createDataFrame([], "u long, v long, s double, fresh boolean"))
+    df = spark.createDataFrame(two_tight_groups(40), "vec_id long, embedding array<double>, label int")
+    assert {(r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()} == {(79, 0)}
+
+
 def test_exact_topk_equals_brute_force(spark):
     rows = [(i, v) for i, v, _ in vectors(3)] + [(1000 + i, [0.5] * 16) for i in range(30)] + [(-50, [0.5] * 16), (2000, [1e7] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).repartition(3)
