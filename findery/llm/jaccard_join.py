@@ -4,7 +4,8 @@ Documents with equal shingle sets are one record. A record is embedded as COORDI
 coordinate with its value. From the root, each node of the path tree samples about 1 / similarity coordinates by a
 hash of its path, and a record follows those that it shares with others: children are (path, coordinate, value). Nodes
 of at most BUCKET records are compared by brute force; larger ones are split on further tokens, and at DEPTH they are
-compared in blocks. Runs are independent, and as many are made as bring a pair at the threshold to the target recall.
+compared in blocks. Runs are independent, and as many are made as bring a pair at the threshold to the target recall:
+a pair must survive every split, so records that were in large nodes get more runs, by the deepest level reached.
 The comparisons only mark candidates (8-bit tokens, a bound of 4.5 standard deviations below the threshold) and join
 them to clusters; within clusters every pair is then decided by its exact Jaccard similarity.
 """
@@ -41,9 +42,21 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
     return least.astype("<u4")
 
 
-def runs_for(target: float) -> int:
-    """A pair at the threshold shares a child with probability 1 - 1/e in one run, as one shared child is expected."""
-    return math.ceil(math.log(1 - target) / -1.0)
+def loss(similarity: float, depth: int, runs: int) -> float:
+    """Probability that a pair at the threshold survives `depth` splits in none of the runs, over its number of equal coordinates."""
+    lost = 0.0
+    for equal in range(COORDINATES + 1):
+        survives = 1.0
+        for _ in range(depth):
+            survives = 1 - (1 - min(1.0, 1 / (similarity * COORDINATES)) * survives) ** equal
+        lost += math.comb(COORDINATES, equal) * similarity**equal * (1 - similarity) ** (COORDINATES - equal) * (1 - survives) ** runs
+    return lost
+
+
+def runs_for(most_lost: float, similarity: float, depth: int) -> int:
+    if most_lost <= loss(similarity, depth, 1 << 20):
+        raise ValueError("no number of runs reaches this recall")
+    return next(n for n in range(1, 1 << 20) if loss(similarity, depth, n) <= most_lost)
 
 
 def least_matches(similarity: float) -> int:
@@ -134,10 +147,26 @@ def only_low(state: DataFrame) -> DataFrame:
 
 
 def chosen_paths(records: DataFrame, similarity: float, target: float) -> DataFrame:
-    """Candidate edges (a, b) between records (rec, sig)."""
+    """Candidate edges (a, b) between records (rec, sig).
+
+    A pair of which one record was in no large node is lost only where it shares no child of a root: for that, 0.6 of
+    the loss is set aside. The rest is for pairs in large nodes.
+    """
+    runs = runs_for(0.6 * (1 - target), similarity, 1)
+    rest = 1 - target - loss(similarity, 1, runs)
+    edges, depth, crowded = descend(records, range(1, runs + 1), similarity)
+    while crowded is not None and (need := runs_for(rest, similarity, depth)) > runs:
+        more, deepest, _ = descend(records.join(crowded, "rec", "left_semi"), range(runs + 1, need + 1), similarity)
+        edges, depth, runs = edges.unionByName(more), max(depth, deepest), need
+    return edges.distinct()
+
+
+def descend(records: DataFrame, runs: range, similarity: float) -> tuple[DataFrame, int, DataFrame | None]:
+    """Edges of these runs, the deepest level reached, and the records (rec) of large nodes, if any."""
+    crowded = None
     spark = records.sparkSession
     parts, least = int(spark.conf.get("spark.sql.shuffle.partitions")), least_matches(similarity)
-    roots = mix(np.arange(1, runs_for(target) + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).view(np.int64)
+    roots = mix(np.array(runs, np.uint64) * np.uint64(0xD1342543DE82EF95)).view(np.int64)
     state = records.withColumn("path", F.explode(F.array(*(F.lit(int(r)) for r in roots))))
     edges = None
     for level in range(1, DEPTH + 1):
@@ -152,12 +181,14 @@ def chosen_paths(records: DataFrame, similarity: float, target: float) -> DataFr
         found = saved(candidates(only_low(small), ["path"], least, parts))
         edges = found if edges is None else edges.unionByName(found)
         if not n_large:
-            return edges.distinct()
+            return edges, level, crowded
         state = saved(state.join(of_large, "path").select("path", "rec", "sig"))
+        if level == 1:
+            crowded = saved(state.select("rec").distinct())
     blocks = state.join(of_large, "path").withColumn("chunks", F.ceil(F.col("n") / BUCKET).cast("int"))
     side = only_low(state).join(blocks.select("path", "rec", "chunks").distinct(), ["path", "rec"]).withColumn("c", F.pmod(F.xxhash64("rec"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     side = side.select("path", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "rec", "low")
-    return edges.unionByName(candidates(side, ["path", "i", "j"], least, parts)).distinct()
+    return edges.unionByName(candidates(side, ["path", "i", "j"], least, parts)), DEPTH, crowded
 
 
 def jaccard_matrix(similarity: float):

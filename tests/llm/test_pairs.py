@@ -70,6 +70,17 @@ def test_large_buckets_are_split(spark, monkeypatch):
     assert all((got[i].n_links, got[i].class_id) == (len(links[i]), component[i]) for i in range(len(texts)))
 
 
+def test_pairs_of_large_nodes_reach_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BUCKET", 1)  # every pair has to survive all splits
+    r = np.random.default_rng(2)
+    a = r.integers(0, 1 << 32, (400, 64), np.uint32)
+    b = np.where(r.random(a.shape) < 0.8, a, r.integers(0, 1 << 32, a.shape, np.uint32))
+    rows = [(2 * i + j, x[i].astype("<u4").tobytes()) for i in range(400) for j, x in enumerate((a, b))]
+    edges = jaccard_join.chosen_paths(spark.createDataFrame(rows, "rec long, sig binary"), 0.8, 0.9999)
+    found = {(min(e), max(e)) for e in edges.collect()}
+    assert found == {(2 * i, 2 * i + 1) for i in range(400)}
+
+
 def test_jaccard_join_of_nothing_and_repeats(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (3, "")], "doc_id long, text string")
     assert jaccard_join.ngram_jaccard_join(docs.limit(0)).count() == 0
