@@ -22,14 +22,15 @@ NAMES = r"(?i:(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-
 #: Public key formats.
 FORMATS = {
     "aws": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "github": r"\bgh[pousr]_[0-9A-Za-z]{36,255}",
-    "slack": r"\bxox[abprs]-[0-9A-Za-z-]{10,255}",
-    "stripe": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,255}",
+    "github": r"\bgh[pousr]_[0-9A-Za-z]{36,}+",
+    "slack": r"\bxox[abprs]-[0-9A-Za-z-]{10,}+",
+    "stripe": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}+",
     "google": r"\bAIza[0-9A-Za-z_-]{35}",
-    "jwt": r"\beyJ[0-9A-Za-z_-]{8,4000}\.eyJ[0-9A-Za-z_-]{8,4000}\.[0-9A-Za-z_-]{8,4000}",
-    "pem": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[0-9A-Za-z+/=\s]{0,8000}(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?",
+    "jwt": r"\beyJ[0-9A-Za-z_-]{8,}+\.eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+",
+    "pem": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[0-9A-Za-z+/=\s\\]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?",
 }
-ASSIGNED = NAMES + r"[\"']?\s{0,3}(?::=|=>|[=:])\s{0,3}[\"']?[^\s\"'<>,;]{8,500}"
+#: Values of any length: possessive classes neither backtrack nor recurse. A PEM key holds spaces, so it is named here too.
+ASSIGNED = NAMES + r"[\"']?\s{0,3}(?::=|=>|[=:])\s{0,3}[\"']?(?:" + FORMATS["pem"] + r"|[^\s\"'<>,;]{8,}+)"
 CANDIDATE = "|".join([*FORMATS.values(), ASSIGNED])
 HEAD = "^" + NAMES + r"[\"']?\s{0,3}(?::=|=>|[=:])\s{0,3}[\"']?"
 #: Words that speak for a placeholder or code, and frequent letter pairs of prose.
