@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,9 +13,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+MOST_HOT, LEAST_HOT = 10_000, 1_000
+BROADCAST_BYTES = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share. Sets one only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        root = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -39,7 +45,17 @@ def saved(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: a lost executor costs no recomputation."""
     at = shared_dir(df.sparkSession)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._saved_at = at
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes the folders of saved tables that nothing reads any more. Others are left alone; after an error all stay."""
+    for df in tables:
+        if at := getattr(df, "_saved_at", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 Batches = Iterator[pa.RecordBatch]
@@ -60,11 +76,6 @@ def tidy(f: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return run
 
 
-def partitions_for(df: DataFrame, rows: int, rows_each: int) -> int:
-    """A partition count that grows with the data, never below the session's setting."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
-
-
 def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The lower-cased words of all texts in one run, dictionary-coded, and each text's offset in it (nulls: no words)."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -137,3 +148,31 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
             last = key
     if held:
         yield pa.concat_tables(held)
+
+
+def fits_broadcast(table: DataFrame, row_bytes: int) -> bool:
+    """Whether a saved table's rows fit in BROADCAST_BYTES; where not, joins go by shuffle."""
+    return table.count() * row_bytes <= BROADCAST_BYTES
+
+
+def hot_keys(counts: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """Of counts (key, n) the keys that hold more than one row in MOST_HOT, so fewer than MOST_HOT of them: small enough to broadcast. And how many salts share the hottest out."""
+    total, most = counts.agg(F.sum("n"), F.max("n")).head()
+    bound = max(LEAST_HOT, (total or 0) // MOST_HOT)
+    return counts.filter(F.col("n") > bound).select(F.col(key).alias("__hot")), max(1, min(1024, -(-(most or 0) // bound)))
+
+
+def salted(rows: DataFrame, key: str, by: str, hot: DataFrame, salts: int) -> DataFrame:
+    """The many side of a join: rows of hot keys are dealt over `salts` values of __salt."""
+    if salts == 1:
+        return rows.withColumn("__salt", F.lit(0))
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    return out.withColumn("__salt", F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(by, F.lit("salt")), F.lit(salts)).cast("int"))).drop("__hot")
+
+
+def replicated(rows: DataFrame, key: str, hot: DataFrame, salts: int) -> DataFrame:
+    """The other side: rows of hot keys once for each salt."""
+    if salts == 1:
+        return rows.withColumn("__salt", F.lit(0))
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    return out.withColumn("__salt", F.explode(F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1))))).drop("__hot")

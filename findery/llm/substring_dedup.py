@@ -2,8 +2,9 @@
 
 Each text is cut into sentences (also at clause marks, where a capital follows a lower-case word, as passages are
 pasted into the middle of sentences, and within run-ons). From every sentence on, the shortest run of at least `SENTENCES` sentences and
-`WORDS` words is hashed. A partial aggregation finds the hashes that occur more than once and their first place; a join
-brings them back to the places, and all sentences under a span that isn't the first of its hash go.
+`WORDS` words is hashed. A first pass counts 64-bit hashes alone; a second gives the places of the few that repeat, with
+32 bits more, and the first place of each. All sentences under a span that isn't the first of its hash go. Hot hashes
+are dealt over salts, and each pass leaves only its small result in the shared folder.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from findery.llm.common import mix, saved, tidy
+from findery.llm.common import discard, hot_keys, mix, replicated, salted, saved, tidy
 
 SENTENCES = 3
 WORDS = 12
@@ -78,65 +80,85 @@ def run_hashes(each: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((upto[end] - upto[first]) * powers(INVERSE, len(each))[first] + (end - first).astype(np.uint64))
 
 
+def span_hashes(docs: DataFrame, least: int, words: int, places: bool) -> DataFrame:
+    """(hash) of every span of docs (doc_id, key, text); with `places` also check (32 independent bits), doc_id, key, first."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1024):
+                batch = whole.slice(a, 1024)
+                out: list[tuple] = []
+                for at, text in enumerate(batch.column("text").to_pylist()):
+                    if not text:
+                        continue
+                    parts = [p.lower().split() for p in sentences(text)[0]]
+                    first, end = spans(np.fromiter(map(len, parts), np.int64, len(parts)), least, words)
+                    if len(first):
+                        each = np.frombuffer(b"".join([digest(" ".join(w)) for w in parts]), "<u8").reshape(-1, 2)
+                        out.append((run_hashes(each[:, 0], first, end), *((run_hashes(each[:, 1], first, end), np.full(len(first), at), first) if places else ())))
+                if out:
+                    hashes, *rest = map(np.concatenate, zip(*out))
+                    columns = {"hash": pa.array(hashes.view(np.int64))}
+                    if places:
+                        row = pa.array(rest[1])
+                        columns |= {"check": pa.array(rest[0].view(np.int64).astype(np.int32)), "doc_id": batch.column("doc_id").take(row), "key": batch.column("key").take(row), "first": pa.array(rest[2].astype(np.int32))}
+                    yield from pa.table(columns).to_batches(max_chunksize=100_000)
+
+    return docs.select("doc_id", "key", "text").mapInArrow(tidy(find), "hash long" + ", check int, doc_id long, key long, first int" * places)
+
+
+def later_places(docs: DataFrame, least: int, words: int) -> DataFrame:
+    """(doc_id, key, firsts): where repeated spans of docs (doc_id, key, text) begin, but for the first of each. Saved."""
+    repeated = saved(span_hashes(docs, least, words, False).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    hot, salts = hot_keys(repeated, "hash")
+    here = salted(span_hashes(docs, least, words, True), "hash", "key", hot, salts)
+    here = saved(here.join(replicated(repeated, "hash", hot, salts).select("hash", "__salt"), ["hash", "__salt"], "left_semi"))
+    place = F.struct("doc_id", "key", "first")
+    starts = here.groupBy("hash", "check").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place")).filter("n > 1")
+    starts = replicated(starts.drop("n"), "hash", hot, salts)
+    later = here.join(starts, ["hash", "check", "__salt"]).filter(~place.eqNullSafe(F.col("place")))
+    out = saved(later.groupBy("doc_id", "key").agg(F.collect_set("first").alias("firsts")))
+    discard(repeated, here)
+    return out
+
+
 def remove_repeated_spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """All documents with their columns; `text` loses every sentence under a non-first repeated span; adds n_removed.
 
     First is the occurrence with the smallest (doc_id, place), null ids before others; repeats within a document count
     too. Rows equal in doc_id and text are one document and come out alike. A null text stays null and an empty one
     empty; both have no spans, as have texts of fewer than `least` sentences or `words` words. A document may lose all its
-    text and keeps its row. Columns named n_removed are replaced; others stay.
+    text and keeps its row. A column named n_removed is replaced; others stay, whatever their names. An empty table gives
+    no rows.
     """
-    words_least = words
-    kept_columns = [c for c in docs.columns if c != "n_removed"]
-    docs = docs.select(*kept_columns).withColumn("__key", F.xxhash64("doc_id", "text"))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            out: list[tuple] = []
-            for at, text in enumerate(batch.column(2).to_pylist()):
-                if not text:
-                    continue
-                words = [p.split() for p in sentences(text)[0]]
-                first, end = spans(np.fromiter(map(len, words), np.int64, len(words)), least, words_least)
-                if len(first):
-                    each = np.fromiter((digest(" ".join(w).lower()) for w in words), np.uint64, len(words))
-                    out.append((np.full(len(first), at), run_hashes(each, first, end), first, end))
-            if out:
-                row, hashes, first, end = map(np.concatenate, zip(*out))
-                rows = pa.array(row)
-                columns = [pa.array(hashes.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32))]
-                yield from pa.table(columns, names=["hash", "doc_id", "key", "first", "end"]).to_batches(max_chunksize=100_000)
-
-    found = saved(docs.select("doc_id", "__key", "text").mapInArrow(tidy(find), "hash long, doc_id long, key long, first int, end int"))
-    repeated = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "first")).alias("place")).filter("n > 1")
-    repeated = saved(repeated.select(F.col("hash").alias("h"), F.col("place.key").alias("first_key"), F.col("place.first").alias("first_at")))
-    later = found.join(repeated, F.col("hash") == F.col("h")).filter((F.col("key") != F.col("first_key")) | (F.col("first") != F.col("first_at")))
-    gone = later.groupBy("key").agg(F.collect_set(F.struct("first", "end")).alias("__spans"))
-    joined = docs.join(gone, docs["__key"] == gone["key"], "left").drop("key", "__key")
+    columns = [c for c in docs.columns if c != "n_removed"]
+    own = {c: "text" if c == "text" else f"__c{i}" for i, c in enumerate(columns)}
+    renamed = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), *(docs[f"`{c}`"].alias(a) for c, a in own.items()))
+    gone = later_places(renamed, least, words).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "firsts")
+    joined = renamed.join(gone, (renamed.key == F.col("__key")) & renamed.doc_id.eqNullSafe(F.col("__id")), "left").select(*own.values(), "firsts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = pa.Table.from_batches([batch])
             texts, counts = [], []
-            for text, dropped in zip(t.column("text").to_pylist(), t.column("__spans").to_pylist()):
+            for text, firsts in zip(t.column("text").to_pylist(), t.column("firsts").to_pylist()):
                 n = 0
-                if dropped:
+                if firsts:
                     parts, seps = sentences(text)
+                    of = dict(zip(*(x.tolist() for x in spans(np.array([len(p.split()) for p in parts]), least, words))))
                     under = np.zeros(len(parts) + 1, np.int64)
-                    for s in dropped:
-                        under[s["first"]] += 1
-                        under[s["end"]] -= 1
+                    for first in firsts:
+                        under[first] += 1
+                        under[of[first]] -= 1
                     under = np.cumsum(under)[:-1] > 0
                     n = int(under.sum())
-                    text = "".join(p + s for p, s, u in zip(parts, seps, under) if not u).rstrip() if n else text
+                    text = "".join(p + s for p, s, u in zip(parts, seps, under) if not u).rstrip()
                 texts.append(text)
                 counts.append(n)
-            out = t.drop_columns(["__spans"])
+            out = t.drop_columns(["firsts"])
             out = out.set_column(out.column_names.index("text"), "text", pa.array(texts, pa.string())).append_column("n_removed", pa.array(counts, pa.int64()))
             yield from out.to_batches()
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*(docs.schema[c] for c in kept_columns), T.StructField("n_removed", T.LongType())])
-    return joined.mapInArrow(tidy(cut), schema)
+    schema = T.StructType([*(T.StructField(a, docs.schema[c].dataType) for c, a in own.items()), T.StructField("n_removed", T.LongType())])
+    return joined.mapInArrow(tidy(cut), schema).select(*(F.col(a).alias(c) for c, a in own.items()), "n_removed")

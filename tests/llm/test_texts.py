@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from findery.llm import quality_lm, secret_scan, substring_dedup, url_filter
+from findery.llm import common, quality_lm, secret_scan, substring_dedup, url_filter
 from pyspark.sql import functions as F
 
 
@@ -135,17 +135,22 @@ def brute_spans(rows, least, words):
     return gone
 
 
-def test_spans_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [10_000, 20])
+def test_spans_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "LEAST_HOT", hot)
     r = random.Random(5)
     sentence = lambda: " ".join(f"w{r.randint(0, 5000)}" for _ in range(r.randint(1, 12))).capitalize() + r.choice([".", "!", ",", "\n"])
     passage = " ".join(sentence() for _ in range(10))
     rows = [(i, " ".join(sentence() for _ in range(r.randint(1, 15))) + (" " + passage if i % 4 == 0 else "") + " " + sentence()) for i in range(60)]
     rows += [(100, "is " * 400), (101, "is " * 300), (102, ""), (103, None), (104, " \n "), (105, rows[0][1]), (105, rows[0][1]), (106, passage + " " + passage), (107, "x" * 100_000), (108, "unmarked " + " ".join(f"v{k}" for k in range(90))), (109, "other words " + " ".join(f"v{k}" for k in range(90)))]
-    df = spark.createDataFrame([(i, t, "h", 9) for i, t in rows], "doc_id long, text string, hash string, n_removed int").repartition(3)
+    clashing = ["hash", "key", "__key", "__spans", "__salt", "first", "firsts", "a.b", "__c0", "place"]
+    kinds = ", ".join(f"`{c}` string" for c in clashing)
+    df = spark.createDataFrame([(i, t, *clashing, 9) for i, t in rows], f"doc_id long, text string, {kinds}, n_removed int").repartition(3)
     gone = brute_spans(rows, substring_dedup.SENTENCES, substring_dedup.WORDS)
     got = substring_dedup.remove_repeated_spans(df)
-    assert got.columns == ["doc_id", "text", "hash", "n_removed"]
+    assert got.columns == ["doc_id", "text", *clashing, "n_removed"]
     got = got.collect()
+    assert all([g[c] for c in clashing] == clashing for g in got)
     assert len(got) == len(rows)
     texts = dict(rows)
     for g in got:
