@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from findery.llm.common import discard, hot_keys, mix, replicated, salted, saved, tidy
 
 SENTENCES = 3
-WORDS = 12
+WORDS = 20  # three sentences of some length: a single licence line or heading that many documents share is no passage
 LONG = 25
 WORD = re.compile(r"\s*\S+\s*")
 #: Ends a sentence: white space after a mark, or that is a line break, or before a capital that follows a lower-case letter.
