@@ -46,14 +46,20 @@ def saved(df: DataFrame) -> DataFrame:
     at = shared_dir(df.sparkSession)
     df.write.parquet(at)
     out = df.sparkSession.read.schema(df.schema).parquet(at)
-    out._saved_at = at
+    out._saved_at = (at,)
     return out
 
 
+def reading(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, which reads these saved tables: to discard it is to discard them."""
+    df._saved_at = tuple(at for t in tables for at in t._saved_at)
+    return df
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Removes the folders of saved tables that nothing reads any more. Others are left alone; after an error all stay."""
     for df in tables:
-        if at := getattr(df, "_saved_at", None):
+        for at in getattr(df, "_saved_at", ()):
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -32,7 +32,7 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.ngram_jaccard_join(table(spark, sf_dir, "documents")).drop("key")
+    return jaccard_join.ngram_jaccard_join(table(spark, sf_dir, "documents")).drop("key", "class_key")
 
 
 def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:

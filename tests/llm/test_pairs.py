@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from findery.llm import clusters, embedding_dedup, jaccard_join, topk_search
 from pyspark.sql import functions as F
 
@@ -70,17 +71,67 @@ def test_large_buckets_are_split(spark, monkeypatch):
     assert all((got[i].n_links, got[i].class_id) == (len(links[i]), component[i]) for i in range(len(texts)))
 
 
-def test_pairs_of_large_nodes_reach_the_recall(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BUCKET", 1)  # every pair has to survive all splits
+@pytest.mark.parametrize("kept", [0.5, 1.0])
+def test_pairs_of_large_nodes_reach_the_recall(spark, monkeypatch, kept):
+    monkeypatch.setattr(jaccard_join, "BUCKET", 1)  # every pair has to survive all splits: two with kept=0.5, six else
+    monkeypatch.setattr(jaccard_join, "KEPT", kept)
     r = np.random.default_rng(2)
     a = r.integers(0, 1 << 32, (400, 64), np.uint32)
     b = np.where(r.random(a.shape) < 0.8, a, r.integers(0, 1 << 32, a.shape, np.uint32))
     rows = [(2 * i + j, x[i].astype("<u4").tobytes()) for i in range(400) for j, x in enumerate((a, b))]
-    edges = jaccard_join.chosen_paths(spark.createDataFrame(rows, "rec long, sig binary"), 0.8, 0.9999)
+    edges, _ = jaccard_join.chosen_paths(spark.createDataFrame(rows, "rec long, sig binary"), 0.8, range(1, 1 + jaccard_join.runs_for(1e-4, 0.8, 1)))
     found = {(min(e), max(e)) for e in edges.collect()}
     assert found == {(2 * i, 2 * i + 1) for i in range(400)}
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3, 6])
+def test_recall_by_level_of_exact_sets(depth):
+    """Pairs of real shingle sets at the threshold, brute force beside the path tree: the runs for a level reach the target at it."""
+    r = np.random.default_rng(depth)
+    n, runs = 3000, jaccard_join.runs_for(1e-4, 0.8, depth)
+    pairs = []
+    for _ in range(n):
+        both = r.integers(0, 1 << 63, 80, np.uint64)
+        pairs.append([jaccard_join.minhash(np.concatenate((both, r.integers(0, 1 << 63, 10, np.uint64)))) for _ in range(2)])
+    a, b = (np.stack(x) for x in zip(*pairs))
+    met = np.zeros(n, bool)
+    for run in range(1, runs + 1):
+        at = {i: {int(jaccard_join.mix(np.array([run], np.uint64))[0])} for i in range(n) if not met[i]}
+        for _ in range(depth):
+            owner = np.array([i for i, p in at.items() for _ in p], np.int64)
+            paths = np.array([x for p in at.values() for x in p], np.uint64)
+            if not len(owner):
+                break
+            below = [{(int(owner[k]), int(x)) for k, x in zip(*jaccard_join.children(paths, side[owner], 0.8))} for side in (a, b)]
+            at = {}
+            for i, x in below[0] & below[1]:
+                at.setdefault(i, set()).add(x)
+        met[list(at)] = True
+    assert met.mean() >= 0.999  # 0.9999 wanted; 3,000 pairs
+
+
+def test_too_few_runs_are_noticed(spark, monkeypatch):
+    real, made = jaccard_join.chosen_paths, []
+
+    def poor(records, similarity, runs):
+        made.append(runs)
+        edges, all_ = real(records, similarity, runs)
+        return (edges.filter("false"), all_) if len(made) == 1 else (edges, all_)
+
+    monkeypatch.setattr(jaccard_join, "chosen_paths", poor)
+    texts = corpus()
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    links, component = brute(texts)
+    got = {r.doc_id: r for r in jaccard_join.ngram_jaccard_join(docs).collect()}
+    assert len(made) > 1 and all((got[i].n_links, got[i].class_id) == (len(links[i]), component[i]) for i in range(len(texts)))
+
+
+def test_rows_of_one_id_and_unlike_texts_are_classes_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (1, "h i j k l m n"), (None, "o p q r s t u"), (None, "o p q r s t u"), (None, "")], "doc_id long, text string")
+    got = jaccard_join.ngram_jaccard_join(docs).collect()
+    assert len({r.class_key for r in got}) == 4 and sum(r.class_key is None for r in got) == 1
+
+
 def test_jaccard_join_of_nothing_and_repeats(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (3, "")], "doc_id long, text string")
     assert jaccard_join.ngram_jaccard_join(docs.limit(0)).count() == 0
