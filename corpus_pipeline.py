@@ -11,33 +11,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findery.llm import jaccard_join, packing, quality_lm, secret_scan, substring_dedup
-from findery.llm.common import saved, small_batches, table
+from findery.llm.common import discard, hot_keys, replicated, salted, saved, small_batches, table
 
 
 def _key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__key", F.xxhash64("doc_id", "text"))
 
 
+def _listed(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Documents whose (doc_id, key) is in rows, or isn't; rows should list the fewer, so that texts needn't be shuffled."""
+    listed = rows.select(F.col("doc_id").alias("__id"), F.col("key").alias("__listed"))
+    docs = _key(docs)
+    return docs.join(listed, (docs["__key"] == F.col("__listed")) & docs["doc_id"].eqNullSafe(F.col("__id")), how)
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """n_chars follows the text where the table has it."""
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the Kneser-Ney classifier rejects, and those without words."""
+    """Drops the documents that the Kneser-Ney classifier rejects, and those without words. An empty table stays empty."""
     small_batches(spark)
-    kept = quality_lm.classify(docs, table(spark, sf_dir, "labels")).filter("kept").select(F.col("key").alias("__key")).distinct()
-    return _key(docs).join(kept, "__key", "left_semi").select(*docs.columns)
+    judged = quality_lm.classify(docs, table(spark, sf_dir, "labels"))
+    rejected = saved(judged.filter("not kept").select("doc_id", "key").distinct())
+    discard(judged)
+    return _listed(docs, rejected, "left_anti").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest doc_id stays; repeated rows are copies."""
     small_batches(spark)
     found = jaccard_join.ngram_jaccard_join(docs)
-    group = F.coalesce(F.col("class_id").cast("string"), F.concat(F.lit("key "), "key"))
-    first = found.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
-    stays = first.select(F.col("first.key").alias("__key")).distinct()
-    return _key(docs).join(stays, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    classes = saved(found.withColumn("class_key", F.coalesce("class_key", "key")).groupBy("class_key", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")))
+    first = classes.groupBy("class_key").agg(F.count(F.lit(1)).alias("rows"), F.min(order).alias("first")).filter("rows > 1")
+    hot, salts = hot_keys(first.select("class_key", F.col("rows").alias("n")), "class_key")
+    grouped = salted(classes, "class_key", "key", hot, salts).join(replicated(first, "class_key", hot, salts), ["class_key", "__salt"])
+    later = saved(grouped.filter(~F.struct("doc_id", "key").eqNullSafe(F.struct("first.doc_id", "first.key"))).select("doc_id", "key"))
+    repeated = saved(classes.filter("n > 1").select("doc_id", "key"))
+    discard(found, classes)
+    kept = _listed(docs, later, "left_anti").drop("__key")
+    once, rows = _listed(kept, repeated, "left_anti"), _listed(kept, repeated, "left_semi")
+    return once.unionByName(rows.dropDuplicates(["doc_id", "__key"])).select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,5 +82,6 @@ ORACLE_SQL = None  # models and token ids can't be said in SQL; the tests run ea
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+        before, docs = docs, saved(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
