@@ -46,11 +46,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     classes = saved(found.withColumn("class_key", F.coalesce("class_key", "key")).groupBy("class_key", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")))
     first = classes.groupBy("class_key").agg(F.count(F.lit(1)).alias("rows"), F.min(order).alias("first")).filter("rows > 1")
+    first = saved(first.select("class_key", "rows", F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key")))
     hot, salts = hot_keys(first.select("class_key", F.col("rows").alias("n")), "class_key")
     grouped = salted(classes, "class_key", "key", hot, salts).join(replicated(first, "class_key", hot, salts), ["class_key", "__salt"])
-    later = saved(grouped.filter(~F.struct("doc_id", "key").eqNullSafe(F.struct("first.doc_id", "first.key"))).select("doc_id", "key"))
+    later = saved(grouped.filter(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")))).select("doc_id", "key"))
     repeated = saved(classes.filter("n > 1").select("doc_id", "key"))
-    discard(found, classes)
+    discard(found, classes, first)
     kept = _listed(docs, later, "left_anti").drop("__key")
     once, rows = _listed(kept, repeated, "left_anti"), _listed(kept, repeated, "left_semi")
     return once.unionByName(rows.dropDuplicates(["doc_id", "__key"])).select(*docs.columns)
