@@ -116,8 +116,9 @@ def later_places(docs: DataFrame, least: int, words: int) -> DataFrame:
     here = saved(here.join(replicated(repeated, "hash", hot, salts).select("hash", "__salt"), ["hash", "__salt"], "left_semi"))
     place = F.struct("doc_id", "key", "first")
     starts = here.groupBy("hash", "check").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place")).filter("n > 1")
-    starts = replicated(starts.drop("n"), "hash", hot, salts)
-    later = here.join(starts, ["hash", "check", "__salt"]).filter(~place.eqNullSafe(F.col("place")))
+    starts = starts.select("hash", "check", *(F.col(f"place.{c}").alias(f"{c}_0") for c in ("doc_id", "key", "first")))
+    same = F.col("doc_id").eqNullSafe(F.col("doc_id_0")) & (F.col("key") == F.col("key_0")) & (F.col("first") == F.col("first_0"))
+    later = here.join(replicated(starts, "hash", hot, salts), ["hash", "check", "__salt"]).filter(~same)
     out = saved(later.groupBy("doc_id", "key").agg(F.collect_set("first").alias("firsts")))
     discard(repeated, here)
     return out
