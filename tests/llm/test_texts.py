@@ -56,19 +56,14 @@ def quality_tables(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, held int"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rows, labels
 
 
-def brute_perplexities(spark, rows, labels, vocabulary):
+def brute_perplexities(spark, rows, labels):
     """The same model with dictionaries."""
     held = {r.doc_id for r in spark.createDataFrame([(r[0],) for r in rows if r[0] is not None], "doc_id long").filter(F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(quality_lm.HELD_OUT)) == 0).collect()}
     bad = {i for i, q, t in labels if q != 1 or t}
     trusted = {i for i, q, t in labels if q == 1 and not t and i is not None} - bad
-    train = [(r[1] or "").lower().split() for r in rows if r[0] in trusted and r[0] not in held]
-    n = Counter(w for t in train for w in t)
-    known = set()
-    for least in sorted(set(n.values()), reverse=True):  # words of equal count together
-        if sum(c >= least for c in n.values()) <= vocabulary - 2:
-            known = {w for w, c in n.items() if c >= least}
-    seq = lambda t: ["<s>", *(w if w in known else "<unk>" for w in t)]
-    pairs = Counter(p for t in train for p in zip(seq(t)[:-1], seq(t)[1:]))
+    seq = lambda t: ["<s>", *(t or "").lower().split(), "</s>"]
+    train = [seq(r[1]) for r in rows if r[0] in trusted and r[0] not in held and (r[1] or "").split()]
+    pairs = Counter(p for t in train for p in zip(t[:-1], t[1:]))
     total, kinds, follow = Counter(), {}, Counter()
     for (a, b), c in pairs.items():
         total[a] += c
@@ -76,32 +71,48 @@ def brute_perplexities(spark, rows, labels, vocabulary):
         kinds.setdefault(a, [0, 0, 0])[min(c, 3) - 1] += 1
     d = quality_lm.discounts([sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)])
     d1 = quality_lm.discounts([sum(c == k for c in follow.values()) for k in (1, 2, 3, 4)])
-    types = sum(follow.values())
-    mass = sum(d1[min(c, 3) - 1] for c in follow.values()) / types / (vocabulary - 1)
-    unknown = len(n) - len(known) + 1
+    types = len(pairs)
+    rest = sum(d1[min(c, 3) - 1] for c in follow.values()) / types / (len(follow) + 1) if types else 1.0
     out = []
     for r in rows:
-        t = seq((r[1] or "").lower().split())
+        t = seq(r[1])
         logs = []
         for a, b in zip(t[:-1], t[1:]):
-            one = max(follow[b] - (d1[min(follow[b], 3) - 1] if follow[b] else 0), 0) / types + mass
+            one = (follow[b] - d1[min(follow[b], 3) - 1]) / types + rest if follow[b] else rest
             c = pairs[a, b]
             p = one if not total[a] else (max(c - (d[min(c, 3) - 1] if c else 0), 0) + sum(x * y for x, y in zip(d, kinds[a])) * one) / total[a]
-            logs.append(math.log(p) - (math.log(unknown) if b == "<unk>" else 0))
-        out.append(math.exp(-sum(logs) / len(logs)) if logs else None)
+            logs.append(math.log(p))
+        out.append(math.exp(-sum(logs) / len(logs)) if len(t) > 2 else None)
     return out
 
 
-@pytest.mark.parametrize("vocabulary,block", [(1 << 16, 1 << 20), (100, 500)])
-def test_quality_equals_brute_force(spark, monkeypatch, vocabulary, block):
+@pytest.mark.parametrize("block,shard,hot", [(1 << 20, 1 << 20, 1000), (500, 40, 5)])
+def test_quality_equals_brute_force(spark, monkeypatch, block, shard, hot):
     monkeypatch.setattr(quality_lm, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(quality_lm, "SHARD_ITEMS", shard)
+    monkeypatch.setattr(common, "LEAST_HOT", hot)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", block)
     docs, labels, rows, marks = quality_tables(spark)
-    want = brute_perplexities(spark, rows, marks, vocabulary)
-    got = quality_lm.perplexities(docs.repartition(3), labels, vocabulary).collect()
+    want = brute_perplexities(spark, rows, marks)
+    got = quality_lm.perplexities(docs.repartition(3), labels).collect()
     assert len(got) == len(rows)
     seen = {(r.doc_id, r.n_words, r.lang): r.perplexity for r in got}
     for r, p in zip(rows, want):
-        assert seen[r[0], len((r[1] or "").split()), r[2]] == (pytest.approx(p, rel=1e-9) if p else None)
+        assert seen[r[0], len((r[1] or "").split()), r[2]] == (pytest.approx(p, rel=1e-5) if p else None)
+    none = quality_lm.perplexities(docs, labels.limit(0)).collect()
+    assert len(none) == len(rows) and all(r.perplexity in (None, 1.0) for r in none)
+
+
+def test_a_large_vocabulary_has_no_cap(spark):
+    """More than 65,536 words that are seen a few times each; every one has a count of its own."""
+    r = random.Random(8)
+    rows = [(i, " ".join(f"w{r.randint(0, 99_999)}" for _ in range(300)), "en", 1) for i in range(1200)]
+    labels = [(i, 1, 0) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, held int")
+    want = brute_perplexities(spark, rows, labels)
+    got = {x.doc_id: x.perplexity for x in quality_lm.perplexities(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    off = [(x[0], got[x[0]], p) for x, p in zip(rows, want) if got[x[0]] != pytest.approx(p, rel=1e-5)]
+    assert not off, off[:20]
 
 
 def test_quality_decisions(spark):
