@@ -2,8 +2,9 @@
 
 Each task packs what it reads: pieces are gathered up to `window_tokens` ids, sorted by falling length, and each goes
 to the open sequence whose room is the tightest that fits. A segment tree over remaining capacities finds it in
-log2(capacity) steps. Nothing is shuffled, memory is bounded by the window, and what a window leaves open is less than
-one sequence for each of its tail lengths, whatever the input's size. A lost task is run again alone and gives its
+log2(capacity) steps. Where that leaves more than OPEN of a window's room (as with texts a little over half a sequence),
+the emptiest sequences are dissolved and their pieces cut to fill the others. So a window leaves open at most OPEN and
+one sequence, and nothing is shuffled; memory is bounded by the window. A lost task is run again alone and gives its
 partition the same sequence numbers.
 """
 
@@ -23,6 +24,7 @@ from findery.llm.word_bpe import word_bpe
 CAPACITY = 4096
 EOS = 2
 WINDOW_TOKENS = 1 << 21
+OPEN = 0.02
 SEQUENCES_PER_PARTITION = 1 << 33
 
 
@@ -52,10 +54,22 @@ class RoomTree:
             i += 1
             while i < self.width:
                 i = 2 * i if count[2 * i] else 2 * i + 1
+        return self.out(i)
+
+    def largest(self) -> tuple[int, int] | None:
+        """Removes and returns (room, sequence) with the most room, or None where no room is left."""
+        count, i = self.count, 1
+        if not count[1]:
+            return None
+        while i < self.width:
+            i = 2 * i + 1 if count[2 * i + 1] else 2 * i
+        return self.out(i) if i > self.width else None
+
+    def out(self, i: int) -> tuple[int, int]:
         room = i - self.width
         sequence = self.open[room].pop()
         while i:
-            count[i] -= 1
+            self.count[i] -= 1
             i >>= 1
         return room, sequence
 
@@ -75,6 +89,39 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return sequence, offset, used
 
 
+def filled(lengths: np.ndarray, sequence: np.ndarray, offset: np.ndarray, used: int, capacity: int, open_share: float = OPEN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """The same placing with at most `open_share` and a sequence left open: (piece, start in it, length, sequence, offset) of each part, and the number of sequences.
+
+    The emptiest sequences beyond those needed are dissolved; each of their pieces goes to the tightest room that takes
+    it whole, or else in parts to the largest rooms.
+    """
+    tokens = int(lengths.sum())
+    keep = -(-tokens // max(1, int(capacity * (1 - open_share))))
+    piece = np.arange(len(lengths))
+    if used <= keep:
+        return piece, np.zeros(len(lengths), np.int64), lengths, sequence, offset, used
+    load = np.bincount(sequence, lengths, used).astype(np.int64)
+    order = np.argsort(-load, kind="stable")
+    number = np.full(used, -1)
+    number[order[:keep]] = np.arange(keep)
+    stays = number[sequence] >= 0
+    parts = list(zip(piece[stays].tolist(), [0] * int(stays.sum()), lengths[stays].tolist(), number[sequence[stays]].tolist(), offset[stays].tolist()))
+    tree = RoomTree(capacity)
+    for i, n in enumerate(load[order[:keep]].tolist()):
+        if n < capacity:
+            tree.add(capacity - n, i)
+    for i in piece[~stays].tolist():
+        at, left = 0, int(lengths[i])
+        while left:
+            room, to = tree.take(left) or tree.largest()
+            n = min(room, left)
+            parts.append((i, at, n, to, capacity - room))
+            at, left = at + n, left - n
+            if room > n:
+                tree.add(room - n, to)
+    return *(np.array(c, np.int64) for c in zip(*parts)), keep
+
+
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 MATRIX = pa.schema([("sequence_id", pa.int64()), ("n_tokens", pa.int32()), ("input_ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("position_ids", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
 
@@ -100,8 +147,10 @@ class Window:
 
     def packed(self) -> pa.Table:
         lengths = np.array([len(x) // 4 for x in self.ids], np.int64)
-        sequence, offset, used = best_fit_decreasing(lengths, self.capacity)
-        out = pa.table([pa.array(self.doc, pa.int64()), pa.array(self.start, pa.int64()), pa.array(lengths), pa.array(self.ids, pa.binary()), pa.array(self.total, pa.int64()), pa.array(sequence + self.next), pa.array(offset)], schema=PIECES)
+        piece, at, n, sequence, offset, used = filled(lengths, *best_fit_decreasing(lengths, self.capacity), self.capacity)
+        ids = [self.ids[i] if k == lengths[i] else self.ids[i][4 * a : 4 * (a + k)] for i, a, k in zip(piece.tolist(), at.tolist(), n.tolist())]
+        doc, start, total = ([x[i] for i in piece.tolist()] for x in (self.doc, self.start, self.total))
+        out = pa.table([pa.array(doc, pa.int64()), pa.array(np.array(start, np.int64) + at), pa.array(n), pa.array(ids, pa.binary()), pa.array(total, pa.int64()), pa.array(sequence + self.next), pa.array(offset)], schema=PIECES)
         self.next += used
         self.clear()
         return out

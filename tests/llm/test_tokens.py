@@ -68,6 +68,21 @@ def test_best_fit_decreasing(seed):
         assert (offset[at] == np.r_[0, np.cumsum(lengths[at])[:-1]]).all()
 
 
+@pytest.mark.parametrize("lengths", [[2501] * 400, [4096, 2049, 2049], [33] * 1000, [1], [4000] * 100 + [50], *([np.random.default_rng(s).integers(1, 4097, 500).tolist()] for s in range(3))])
+def test_open_room_is_filled_with_cut_pieces(lengths):
+    lengths = np.array(lengths if isinstance(lengths[0], int) else lengths[0])
+    best = packing.best_fit_decreasing(lengths, 4096)
+    piece, at, n, sequence, offset, used = packing.filled(lengths, *best, 4096)
+    assert used <= best[2] and (used == best[2] or used * 4096 * 0.98 < n.sum() + 4096)
+    assert used * 4096 * 0.98 <= n.sum() + 4096  # at most 2 % and one sequence open
+    for i in range(len(lengths)):
+        own = sorted(zip(at[piece == i], n[piece == i]))
+        assert sum(k for _, k in own) == lengths[i] and all(a + k == b for (a, k), (b, _) in zip(own, own[1:])) and own[0][0] == 0
+    for s in range(used):
+        own = sorted(zip(offset[sequence == s], n[sequence == s]))
+        assert own[0][0] == 0 and all(a + k == b for (a, k), (b, _) in zip(own, own[1:])) and own[-1][0] + own[-1][1] <= 4096
+
+
 def expected(text):
     return Tokenizer.from_file(WORDS).encode(text or "", add_special_tokens=False).ids + [2]
 
