@@ -1,26 +1,30 @@
 """Exact top-k search by distributed histogram selection (operator 8).
 
-Every query meets every candidate in blocks: a block of queries is sent to each of G groups of candidate blocks, so no
-task holds more than a few blocks and hot queries or vectors weigh no more than others. A first pass finds each query's
+Candidates stand in blocks, in one copy. Queries come in blocks of a bounded size, which are broadcast one after the
+other, and a task holds each of its candidate blocks against them by matrix products. A first pass finds each query's
 score range; each further pass counts scores in 256 equal bins of the range that still holds the kth value and narrows
-it to one bin, until the range is one value. The last pass keeps what reaches that value; of equal scores a block
-sends its k smallest ids at most, which loses nothing, and the final ranks are taken from those.
+it to one bin, until the range is one value. The last pass keeps what reaches that value; of equal scores a task
+sends its k smallest ids at most, which loses nothing, and the final ranks are taken from those. Tasks send what they
+have counted over all their blocks, so little is shuffled, and disk doesn't grow with the number of query blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from findery.llm.common import saved
+from findery.llm.common import discard, reading, saved, tidy
 
 BLOCK = 1024
-QUERY_BLOCK = 512
+QUERY_BLOCK = 8192
+AT_ONCE = 256  # queries in one matrix product
 BINS = 256
+KEPT = 1 << 18  # rows that the last pass holds before it drops what is beaten
 EXACT = float(1 << 53)
 BLOCK_TYPE = "dim int, block long, ids binary, vectors binary"
 
@@ -28,7 +32,7 @@ BLOCK_TYPE = "dim int, block long, ids binary, vectors binary"
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
     """Rows that take part, with components floor(scale * x) as doubles: a null vector or null or non-finite component excludes its row."""
     usable = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.filter(usable).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
+    return vectors.select("vec_id", "embedding").filter(usable).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -54,60 +58,82 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(gather, BLOCK_TYPE)
 
 
-def scores_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, candidate ids and the matrix of exact scores; a query's own row is masked as the lowest long."""
-    q_ids, c_ids, dim = row["q_ids"], np.frombuffer(row["ids"], "<i8"), row["dim"]
-    q, c = row["q_vectors"].reshape(len(q_ids), dim), np.frombuffer(row["vectors"], "<f8").reshape(len(c_ids), dim)
-    most = (np.abs(q).max(initial=0) * np.abs(c).max(initial=0) + 1) * max(dim, 1)
-    s = (q @ c.T).astype(np.int64) if most < EXACT else q.astype(np.int64) @ c.astype(np.int64).T
-    s[q_ids[:, None] == c_ids[None, :]] = np.iinfo(np.int64).min
-    return q_ids, c_ids, s
-
-
 OWN = np.iinfo(np.int64).min
 
 
-def ranges(row: dict) -> dict:
-    q, _, s = scores_of(row)
-    real = s != OWN
-    n = real.sum(1)
-    keep = n > 0
-    low = np.where(real, s, np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max)
-    return {"query_id": q[keep], "low": low[keep], "high": s.max(1, initial=OWN)[keep], "n": n[keep]}
-
-
-def histogram(row: dict) -> dict:
-    """Counts by bin from the top, as far as the block alone would need; bins below can't hold a kth value of the whole."""
-    q, _, s = scores_of(row)
-    low, high, need = (row[k] for k in ("q_low", "q_high", "q_need"))
-    width = -(-(high - low + 1) // BINS)
-    out_q, out_bin, out_n = [], [], []
-    for i in range(len(q)):
-        if low[i] == high[i]:
-            continue
-        x = s[i]
-        x = x[(x >= low[i]) & (x <= high[i])]
-        bins, counts = np.unique((x - low[i]) // width[i], return_counts=True)
-        bins, counts = bins[::-1], counts[::-1]
-        upto = int(np.searchsorted(np.cumsum(counts), need[i])) + 1
-        out_q.append(np.full(len(bins[:upto]), q[i]))
-        out_bin.append(bins[:upto])
-        out_n.append(counts[:upto])
-    flat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-    return {"query_id": flat(out_q), "bin": flat(out_bin), "count": flat(out_n)}
+class Asked:
+    """A block of queries: ids, matrices by dimension, and for each query the range that holds its kth value."""
+
+    def __init__(self, ids: list[int], vectors: list[list[float]]):
+        self.ids = np.array(ids, np.int64)
+        sizes = np.array([len(v) for v in vectors])
+        self.of_dim = {int(d): (at := np.flatnonzero(sizes == d), np.array([vectors[i] for i in at], float).reshape(len(at), d)) for d in np.unique(sizes)}
+        self.low, self.high, self.need = (np.zeros(len(ids), np.int64) for _ in range(3))
+
+    def scores(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(queries, candidate ids, exact scores) for each part; a query's own rows are masked as the lowest long."""
+        for dim, ids, data in zip(*(batch.column(c).to_pylist() for c in ("dim", "ids", "vectors"))):
+            if dim not in self.of_dim:
+                continue
+            c_ids, (at, matrix) = np.frombuffer(ids, "<i8"), self.of_dim[dim]
+            c = np.frombuffer(data, "<f8").reshape(len(c_ids), dim)
+            most = np.abs(c).max(initial=0)
+            for a in range(0, len(at), AT_ONCE):
+                q, x = at[a : a + AT_ONCE], matrix[a : a + AT_ONCE]
+                exact = (np.abs(x).max(initial=0) * most + 1) * max(dim, 1) < EXACT
+                s = (x @ c.T).astype(np.int64) if exact else x.astype(np.int64) @ c.astype(np.int64).T
+                s[self.ids[q][:, None] == c_ids[None, :]] = OWN
+                yield q, c_ids, s
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def ranges(asked: Asked, batches: Batches) -> dict:
+    low, high, n = np.full(len(asked.ids), np.iinfo(np.int64).max), np.full(len(asked.ids), OWN), np.zeros(len(asked.ids), np.int64)
+    for batch in batches:
+        for q, _, s in asked.scores(batch):
+            real = s != OWN
+            n[q] += real.sum(1)
+            low[q] = np.minimum(low[q], np.where(real, s, low[q][:, None]).min(1, initial=np.iinfo(np.int64).max))
+            high[q] = np.maximum(high[q], s.max(1, initial=OWN))
+    some = np.flatnonzero(n)
+    return {"q": some, "low": low[some], "high": high[some], "n": n[some]}
+
+
+def histogram(asked: Asked, batches: Batches) -> dict:
+    """Counts by bin from the top, as far as the task alone would need; bins below can't hold a kth value of the whole."""
+    counts = np.zeros((len(asked.ids), BINS), np.int64)
+    width = -(-(asked.high - asked.low + 1) // BINS)
+    for batch in batches:
+        for q, _, s in asked.scores(batch):
+            low, high = asked.low[q][:, None], asked.high[q][:, None]
+            row, at = np.nonzero((s >= low) & (s <= high) & (low < high))
+            bins = (s[row, at] - low[row, 0]) // width[q][row]
+            counts[q] += np.bincount(row * BINS + bins, minlength=len(q) * BINS).reshape(len(q), BINS)
+    above = np.cumsum(counts[:, ::-1], 1)[:, ::-1] - counts
+    q, bins = np.nonzero((counts > 0) & (above < asked.need[:, None]))
+    return {"q": q, "bin": bins, "n": counts[q, bins]}
 
 
 def reached(k: int):
-    def best(row: dict) -> dict:
-        q, c, s = scores_of(row)
-        low = row["q_low"]
-        out = []
-        for i in range(len(q)):
-            at = np.flatnonzero((s[i] >= low[i]) & (s[i] != OWN))
-            at = at[np.lexsort((c[at], -s[i][at]))][:k]
-            out.append((np.full(len(at), q[i]), c[at], s[i][at]))
-        flat = [np.concatenate([x[j] for x in out]) if out else np.zeros(0, np.int64) for j in range(3)]
-        return {"query_id": flat[0], "vec_id": flat[1], "score": flat[2]}
+    def best(asked: Asked, batches: Batches) -> dict:
+        held: list[tuple] = []
+
+        def cut() -> tuple:
+            q, c, s = (np.concatenate([x[i] for x in held]) if held else np.zeros(0, np.int64) for i in range(3))
+            order = np.lexsort((c, -s, q))
+            q, c, s = q[order], c[order], s[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            return q[place < k], c[place < k], s[place < k]
+
+        for batch in batches:
+            for q, c, s in asked.scores(batch):
+                row, at = np.nonzero((s >= asked.low[q][:, None]) & (s != OWN))
+                held.append((q[row], c[at], s[row, at]))
+            if sum(len(x[0]) for x in held) > KEPT:
+                held = [cut()]
+        return dict(zip(("q", "vec_id", "score"), cut()))
 
     return best
 
@@ -115,53 +141,46 @@ def reached(k: int):
 def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """For each query its k highest inner products of quantised vectors, ties to the smaller vec_id.
 
-    Columns query_id, rank, vec_id, score. Vectors that are null or hold a null or a non-finite component take no part; a
-    query meets vectors of its own dimension only; rows that repeat a query's vec_id count as its own. Fewer candidates
-    than k give fewer rows, an empty table none. Other columns are ignored. Scores must fit a 64-bit integer.
+    Columns query_id, rank, vec_id, score. Vectors that are null or hold a null or a non-finite component take no part, nor
+    do rows without vec_id; a query meets vectors of its own dimension only; rows that repeat a query's vec_id count as
+    its own, and of unlike ones the smallest vector asks. Fewer candidates than k give fewer rows, an empty table none.
+    Other columns are ignored. Scores must fit a 64-bit integer.
     """
     spark = vectors.sparkSession
-    rows = quantised(vectors.select("vec_id", "embedding").filter("vec_id is not null"), scale)
-    candidates = blocks(rows, BLOCK)
-    queries = saved(rows.filter(is_query).select("vec_id", "v").dropDuplicates(["vec_id"]))
-    total, asked = candidates.count(), queries.count()
-    spread = max(1, min(total, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    n_blocks = max(1, -(-asked // QUERY_BLOCK))
-    sent = saved(candidates.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(spread)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
-    numbered = queries.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("qb"))
-
-    def paired(state: DataFrame | None) -> DataFrame:
-        """Candidate blocks beside each query block, with the queries' present ranges."""
-        names = [] if state is None else ["q_low", "q_high", "q_need"]
-        q = numbered if state is None else numbered.join(state, numbered.vec_id == state.query_id)
-        gathered = q.groupBy("qb", "dim").agg(F.collect_list(F.struct("vec_id", "v", *names)).alias("q"))
-        columns = [F.col("q.vec_id").alias("q_ids"), F.flatten("q.v").alias("q_vectors"), *(F.col(f"q.{n}").alias(n) for n in names)]
-        packed = gathered.select("qb", "dim", *columns, F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("g"))
-        return sent.join(packed, ["qb", "g", "dim"])
-
-    def passed(state, work, schema):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for j in range(batch.num_rows):
-                    cells = {n: batch.column(n)[j] for n in batch.schema.names}
-                    row = {n: c.values.to_numpy(zero_copy_only=False) if isinstance(c, pa.ListScalar) else c.as_py() for n, c in cells.items()}
-                    yield pa.record_batch({n: pa.array(v, pa.int64()) for n, v in work(row).items()})
-
-        return paired(state).mapInArrow(run, schema)
-
-    state = passed(None, ranges, "query_id long, low long, high long, n long").groupBy("query_id").agg(F.min("low").alias("q_low"), F.max("high").alias("q_high"), F.least(F.sum("n"), F.lit(k)).alias("q_need"))
-    state = saved(state)
-    while True:
-        open_ = state.agg(F.max(F.col("q_high") - F.col("q_low"))).head()[0]
-        if not open_:
-            break
-        counts = passed(state, histogram, "query_id long, bin long, count long").groupBy("query_id", "bin").agg(F.sum("count").alias("count"))
-        down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
-        above = F.coalesce(F.sum("count").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        found = counts.withColumn("above", above).join(state, "query_id").filter("above < q_need and above + count >= q_need")
-        width = F.ceil((F.col("q_high") - F.col("q_low") + 1) / BINS)
-        low = F.col("q_low") + F.col("bin") * width
-        narrowed = found.select("query_id", low.alias("q_low"), F.least(low + width - 1, "q_high").alias("q_high"), (F.col("q_need") - F.col("above")).alias("q_need"))
-        state = saved(narrowed.unionByName(state.filter("q_low = q_high")))
-    best = passed(state, reached(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = quantised(vectors.filter("vec_id is not null"), scale)
+    candidates = saved(blocks(rows, BLOCK))
+    queries = saved(quantised(vectors.filter("vec_id is not null").filter(is_query), scale).groupBy("vec_id").agg(F.min("v").alias("v")))
+    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts: list[DataFrame] = []
+    for block in range(n_blocks):
+        mine = queries.filter(F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(n_blocks)) == block).orderBy("vec_id").collect()
+        asked = Asked([r["vec_id"] for r in mine], [r["v"] for r in mine])
+
+        def passed(work, schema: str) -> DataFrame:
+            shared = spark.sparkContext.broadcast(asked)
+
+            def run(batches: Batches) -> Batches:
+                found = work(shared.value, batches)
+                yield pa.record_batch({n: pa.array(np.asarray(v), pa.int64()) for n, v in found.items()})
+
+            return candidates.mapInArrow(tidy(run), schema)
+
+        for r in passed(ranges, "q long, low long, high long, n long").groupBy("q").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.least(F.sum("n"), F.lit(k)).alias("need")).collect():
+            asked.low[r["q"]], asked.high[r["q"]], asked.need[r["q"]] = r["low"], r["high"], r["need"]
+        while (asked.low < asked.high).any():
+            counts = passed(histogram, "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+            down = Window.partitionBy("q").orderBy(F.desc("bin"))
+            counts = counts.withColumn("upto", F.sum("n").over(down))
+            need = spark.createDataFrame([*enumerate(asked.need.tolist())], "q long, need long")
+            for r in counts.join(F.broadcast(need), "q").filter("upto >= need and upto - n < need").collect():
+                q = r["q"]
+                width = -(-(int(asked.high[q]) - int(asked.low[q]) + 1) // BINS)
+                asked.low[q] += r["bin"] * width
+                asked.high[q] = min(int(asked.high[q]), int(asked.low[q]) + width - 1)
+                asked.need[q] -= r["upto"] - r["n"]
+        order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+        best = passed(reached(k), "q long, vec_id long, score long").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        ids = spark.createDataFrame([*enumerate(asked.ids.tolist())], "q long, query_id long")
+        parts.append(saved(best.join(F.broadcast(ids), "q").select("query_id", "rank", "vec_id", "score")))
+    discard(candidates, queries)
+    return reading(reduce(DataFrame.unionByName, parts), *parts)
