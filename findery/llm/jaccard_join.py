@@ -307,13 +307,17 @@ def ngram_jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, n: int =
         discard(by_rec)
     discard(edges, classes)
     alone = F.col("rec").isNull()
-    out = rows.select("doc_id", "key", "rec").join(by_rec, "rec", "left")
+    hot, salts = hot_keys(by_rec.select("rec", F.col("size").alias("n")), "rec")
+    # texts without words have no record; each has a key of its own, so that they don't meet
+    out = salted(rows.select("doc_id", "key", F.coalesce("rec", "key").alias("by"), "rec"), "by", "key", hot, salts)
+    out = out.join(replicated(by_rec.drop("size").withColumnRenamed("rec", "by"), "by", hot, salts), ["by", "__salt"], "left")
+    out = out.select("doc_id", "key", "rec", *(F.when(~alone, F.col(c)).alias(c) for c in ("copy_of", "class_id", "n_links", "class_key")))
     out = out.select("doc_id", "key", F.when(alone, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "class_key")
     return reading(out, rows, by_rec)
 
 
 def decided(docs: DataFrame, classes: DataFrame, edges: DataFrame, similarity: float, n: int) -> DataFrame:
-    """(rec, copy_of, class_id, n_links, class_key) of all records, from exact similarities within the components of candidate edges. Saved."""
+    """(rec, size, copy_of, class_id, n_links, class_key) of all records, from exact similarities within the components of candidate edges. Saved."""
     clusters = components(edges)
     wanted = saved(clusters.join(classes, clusters.node == classes.rec).select("rec", F.col("component").alias("cluster"), "size", F.col("first.key").alias("key")))
     texts = docs.select("key", "text").join(F.broadcast(wanted) if fits_broadcast(wanted, 64) else wanted, "key")
@@ -332,7 +336,7 @@ def decided(docs: DataFrame, classes: DataFrame, edges: DataFrame, similarity: f
     heads = named.groupBy("component").agg(F.min("first").alias("head"))
     group_of = named.join(heads, "component").select("rec", F.col("head.doc_id").alias("class_id"), F.col("component").alias("class_key"))
     by_rec = classes.select("rec", F.col("first.doc_id").alias("copy_of"), "size").join(links, "rec", "left").join(group_of, "rec", "left")
-    by_rec = by_rec.select("rec", "copy_of", F.when(F.col("class_key").isNotNull(), F.col("class_id")).otherwise(F.col("copy_of")).alias("class_id"), (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("class_key", "rec").alias("class_key"))
+    by_rec = by_rec.select("rec", "size", "copy_of", F.when(F.col("class_key").isNotNull(), F.col("class_id")).otherwise(F.col("copy_of")).alias("class_id"), (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("class_key", "rec").alias("class_key"))
     by_rec = saved(by_rec)
     discard(clusters, wanted, members, links, parts_of)
     return by_rec

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from findery.llm.common import discard, hot_keys, mix, replicated, salted, saved, tidy
+from findery.llm.common import BROADCAST_BYTES, discard, hot_keys, mix, reading, replicated, salted, saved, tidy
 
 SENTENCES = 3
 WORDS = 20  # three sentences of some length: a single licence line or heading that many documents share is no passage
@@ -136,7 +136,10 @@ def remove_repeated_spans(docs: DataFrame, least: int = SENTENCES, words: int =
     columns = [c for c in docs.columns if c != "n_removed"]
     own = {c: "text" if c == "text" else f"__c{i}" for i, c in enumerate(columns)}
     renamed = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), *(docs[f"`{c}`"].alias(a) for c, a in own.items()))
-    gone = later_places(renamed, least, words).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "firsts")
+    later = later_places(renamed, least, words)
+    gone = later.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "firsts")
+    if 8 * (later.agg(F.sum(F.size("firsts") + 6)).head()[0] or 0) <= BROADCAST_BYTES:  # then texts needn't be shuffled
+        gone = F.broadcast(gone)
     joined = renamed.join(gone, (renamed.key == F.col("__key")) & renamed.doc_id.eqNullSafe(F.col("__id")), "left").select(*own.values(), "firsts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,4 +165,4 @@ def remove_repeated_spans(docs: DataFrame, least: int = SENTENCES, words: int =
             yield from out.to_batches()
 
     schema = T.StructType([*(T.StructField(a, docs.schema[c].dataType) for c, a in own.items()), T.StructField("n_removed", T.LongType())])
-    return joined.mapInArrow(tidy(cut), schema).select(*(F.col(a).alias(c) for c, a in own.items()), "n_removed")
+    return reading(joined.mapInArrow(tidy(cut), schema).select(*(F.col(a).alias(c) for c, a in own.items()), "n_removed"), later)
