@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findery.llm import jaccard_join, packing, quality_lm, secret_scan, substring_dedup
-from findery.llm.common import discard, hot_keys, replicated, salted, saved, small_batches, table
+from findery.llm.common import discard, fits_broadcast, hot_keys, replicated, salted, saved, small_batches, table
 
 
 def _key(docs: DataFrame) -> DataFrame:
@@ -19,8 +19,8 @@ def _key(docs: DataFrame) -> DataFrame:
 
 
 def _listed(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """Documents whose (doc_id, key) is in rows, or isn't; rows should list the fewer, so that texts needn't be shuffled."""
-    listed = rows.select(F.col("doc_id").alias("__id"), F.col("key").alias("__listed"))
+    """Documents whose (doc_id, key) is in the saved rows, or isn't. rows lists the fewer, so that it may be small enough to spare the texts a shuffle."""
+    listed = (F.broadcast(rows) if fits_broadcast(rows, 32) else rows).select(F.col("doc_id").alias("__id"), F.col("key").alias("__listed"))
     docs = _key(docs)
     return docs.join(listed, (docs["__key"] == F.col("__listed")) & docs["doc_id"].eqNullSafe(F.col("__id")), how)
 
