@@ -13,6 +13,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -130,13 +131,15 @@ class PrefixBpe:
 class Pieces(dict):
     """Decimal ids of one pre-token, joined by spaces, and what they decode to; and of whole chunks between spaces.
 
-    A chunk is kept under its text. Chunks hold no white space, so every pre-token lies within one, with the space before it.
+    A chunk is kept under its text. Chunks hold no white space, so under public_tokenizers.PATTERN every pre-token lies
+    within one, with the space before it. Under any other pattern texts are split as a whole.
     """
 
     def __init__(self, path: str, pattern: str):
         self.bpe = PrefixBpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))})
         self.split = regex.compile(pattern).findall
         self.gap = regex.compile(r"\s").search
+        self.by_chunk = pattern == public_tokenizers.PATTERN
 
     def ids(self, text: str) -> tuple[bytes, int, bytes]:
         ids = [i for piece in self.split(text) for i in self.bpe.encode(piece.encode())]
@@ -159,6 +162,8 @@ class Pieces(dict):
 
     def encode(self, text: str) -> tuple[bytes, int, bytes]:
         """Fast where lines hold words between single spaces; any other text is split as a whole."""
+        if not self.by_chunk:
+            return self.ids(text)
         try:
             parts = []
             newline = None
