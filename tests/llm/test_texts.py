@@ -44,6 +44,51 @@ def test_markov_model_is_a_distribution():
         assert sum(m.probability(context, c) for c in "abc?") == pytest.approx(1)
 
 
+def brute_probability(texts, context, char, order, alphabet):
+    """Witten-Bell mixing from plain searches in the padded texts."""
+    p = 1 / alphabet
+    for k in range(len(context) + 1):
+        c = context[len(context) - k :]
+        after = Counter(t[i + k] for t in ("\n" * order + x for x in texts) for i in range(order - k, len(t) - k) if t[i : i + k] == c)
+        if not after:
+            return p
+        p = (after[char] + len(after) * p) / (sum(after.values()) + len(after))
+    return p
+
+
+def test_url_scores_equal_brute_force(spark):
+    r = random.Random(4)
+    good = [f"a{r.randint(0, 9)}.example.com/en/{r.randint(0, 99)}" for _ in range(23)]
+    bad = [f"spam{r.randint(0, 9)}.example.com/en/{r.randint(0, 99)}" for _ in range(9)]
+    df = spark.createDataFrame([(i, "http://" + u) for i, u in enumerate(good + bad)], "page_id long, url string")
+    got = {x.page_id: x for x in url_filter.judge_urls(df, order=3).collect()}
+    like = lambda texts, u: sum(math.log(brute_probability(texts, ("\n" * 3 + u)[i : i + 3], u[i], 3, 256)) for i in range(len(u)))
+    yes, no = sorted(set(good)), sorted(set(bad))
+    score = lambda u, yes: (like(yes, u) - like(no, u)) / len(u)
+    for i, u in enumerate(good + bad):
+        assert got[i].score == pytest.approx(score(u, yes))
+    order = [x[0] for x in spark.createDataFrame([(u,) for u in yes], "u string").orderBy(F.xxhash64("u"), "u").collect()]
+    held = [score(u, [x for j, x in enumerate(order) if j % 5 != i % 5]) for i, u in enumerate(order)]
+    threshold = min(0.0, float(np.quantile(held, 0.01)))
+    assert all((got[i].verdict == "block") == (got[i].score < threshold) for i in got)
+
+
+def test_families_are_blocked_without_their_seed_word(spark):
+    """What the models learn from other rejected hosts finds those whose word isn't listed."""
+    r = random.Random(6)
+    name = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(4, 9)))
+    family = lambda word, i: f"https://best-{word}-bonus{i}.example.com/free/win-{name()}.php?ref={r.randint(1000, 9999)}"
+    rows = [f"https://{name()}.example.com/en/{name()}/{name()}.html" for _ in range(400)]
+    rows += [family("spam", i) for i in range(60)] + [family("warez", i) for i in range(60)]
+    unlisted = [family("casino", i) for i in range(40)]
+    frame = lambda urls: spark.createDataFrame([*enumerate(urls)], "page_id long, url string")
+    model = url_filter.fit_urls(frame(rows), seed_words=["spam", "warez"])  # the unlisted family isn't seen
+    got = {x.page_id: x.verdict for x in url_filter.judge_urls(frame(rows + unlisted), model=model).collect()}
+    assert sum(got[i] == "block" for i in range(len(rows), len(rows) + 40)) >= 36
+    assert sum(got[i] == "block" for i in range(400)) <= 8 and all(got[i] == "block" for i in range(400, len(rows)))
+    assert all(x.verdict == "allow" for x in url_filter.judge_urls(frame(rows[:3])).collect())  # no rejected class
+
+
 def quality_tables(spark):
     r = random.Random(2)
     common = "the of and to in is was for with on".split()
@@ -80,7 +125,8 @@ def brute_perplexities(spark, rows, labels):
         for a, b in zip(t[:-1], t[1:]):
             one = (follow[b] - d1[min(follow[b], 3) - 1]) / types + rest if follow[b] else rest
             c = pairs[a, b]
-            p = one if not total[a] else (max(c - (d[min(c, 3) - 1] if c else 0), 0) + sum(x * y for x, y in zip(d, kinds[a])) * one) / total[a]
+            seen = c - d[min(c, 3) - 1] if c >= quality_lm.LEAST_SEEN else 0
+            p = one if not total[a] else (seen + sum(x * y for x, y in zip(d, kinds[a])) * one) / total[a]
             logs.append(math.log(p))
         out.append(math.exp(-sum(logs) / len(logs)) if len(t) > 2 else None)
     return out
