@@ -1,14 +1,15 @@
 """Embedding near-dedup by NN-descent (operator 6).
 
 Equal vectors under one label are one record. A neighbour graph starts from windows of rows sorted by random
-hyperplane codes, then is refined: each record's neighbours are compared with one another (neighbours of neighbours),
-as long as at least one of a pair is new, and lists keep their best. A list whose last entry reaches the threshold is
+hyperplane codes, then is refined: each record's neighbours, in its own list and those in whose lists it stands, are
+compared with one another, so that a record meets its neighbours' neighbours, as long as at least one of a pair is new,
+and lists keep their best. A list whose last entry reaches the threshold is
 saturated and doubles, ENLARGE times at most. Edges near the threshold join records to clusters. Lists that end
 saturated don't show what lies beyond them, so a cluster's saturated records are a ball (a centre and the largest angle
 to it), and every record outside the cluster that the triangle inequality lets link into the ball is compared with its
 records. In the clusters so joined every pair is decided by its cosine in double precision. A sample audits the recall
-against all rows; under RECALL the graph is refined again from new windows, and in the end all pairs of a label are
-compared.
+against all rows, by link and by record; under RECALL the graph is refined again from new windows with lists of twice
+the length, and in the end all pairs of a label are compared in blocks.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def coded(rows: DataFrame) -> DataFrame:
                     continue
                 x = x / np.abs(x).max()  # no overflow in squares
                 unit = x / np.sqrt(x @ x)
-                recs.append(xxhash.xxh3_64_intdigest(np.array(v, "<f8").tobytes(), seed=label & 0xFFFFFFFF) - (1 << 63))
+                recs.append(xxhash.xxh3_64_intdigest(np.array([label], "<i8").tobytes() + np.array(v, "<f8").tobytes()) - (1 << 63))
                 dims.append(len(v)), vecs.append(unit.tobytes()), lows.append(np.rint(unit * SCALE).astype(np.int8).tobytes())
             yield pa.record_batch([batch.column("vec_id"), pa.array(recs, pa.int64()), batch.column("label").cast(pa.int64()), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary()), pa.array(lows, pa.binary())], names=["vec_id", "rec", "label", "dim", "vec", "low"])
 
@@ -151,11 +152,17 @@ def best_lists(edges: DataFrame, k: int, threshold: float) -> DataFrame:
 
 
 def refined(graph: DataFrame, records: DataFrame, k: int, threshold: float) -> DataFrame:
-    """New edges from comparing each record's neighbours with one another, both ways, where they beat the end of the list, or reach the threshold and the list is saturated and has room."""
+    """New edges from comparing each record's neighbours, those that list it too, with one another, both ways, where they beat the end of the list, or reach the threshold and the list is saturated and has room.
+
+    Of the records that list one, as many of the best are taken as a list of its own may hold, so hubs stay small; records
+    beyond are found by the settling of saturated lists.
+    """
     parts = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     room = (F.min("s") >= threshold - ERROR) & (F.count(F.lit(1)) < k << ENLARGE)
-    ends = graph.groupBy("u").agg(F.when(room, F.lit(threshold - ERROR)).otherwise(F.min("s")).alias("worst"), F.max("fresh").alias("any"))
-    lists = graph.join(ends.filter("any").select(F.col("u").alias("w")), F.col("u") == F.col("w"), "left_semi")
+    ends = graph.groupBy("u").agg(F.when(room, F.lit(threshold - ERROR)).otherwise(F.min("s")).alias("worst"))
+    both = best_lists(graph.unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "s", "fresh")), 2 * k, threshold)
+    changed = both.groupBy("u").agg(F.max("fresh").alias("any")).filter("any").select(F.col("u").alias("w"))
+    lists = both.join(changed, F.col("u") == F.col("w"), "left_semi")
     known = records.select(F.col("rec").alias("r"), "low").join(ends.select(F.col("u").alias("e"), "worst"), F.col("r") == F.col("e"), "left").drop("e")
     sent = lists.join(known, lists.v == known.r).select("u", "v", "fresh", "low", "worst")
 
@@ -247,7 +254,7 @@ def settled(graph: DataFrame, clusters: DataFrame, records: DataFrame, threshold
 
 
 def audited(rows: DataFrame, by_rec: DataFrame, threshold: float) -> float:
-    """Recall of a sample of at most AUDIT records' links, those of the smallest hashes, against all rows."""
+    """Recall of a sample of at most AUDIT records' links, those of the smallest hashes, against all rows: over links, or over records where that is less."""
     sample = by_rec.join(rows.select("rec", "label", "dim", "vec").dropDuplicates(["rec"]), "rec").orderBy(F.xxhash64("rec", F.lit("audit")), "rec").limit(AUDIT).collect()
     asked = rows.sparkSession.sparkContext.broadcast([(r["rec"], r["label"], r["dim"], r["vec"]) for r in sample])
 
@@ -267,7 +274,11 @@ def audited(rows: DataFrame, by_rec: DataFrame, threshold: float) -> float:
     true = rows.filter("rec is not null").select("label", "dim", "vec").mapInArrow(count, "rec long, n long").groupBy("rec").agg(F.sum("n").alias("n"))
     got = {r["rec"]: r["n_links"] for r in sample}
     pairs = [(min(got[r["rec"]], r["n"] - 1), r["n"] - 1) for r in true.collect()]  # one of the n is the record itself
-    return sum(a for a, _ in pairs) / total if (total := sum(b for _, b in pairs)) else 1.0
+    pairs = [(a, b) for a, b in pairs if b]
+    if not pairs:
+        return 1.0
+    by_link, by_record = sum(a for a, _ in pairs) / sum(b for _, b in pairs), sum(a / b for a, b in pairs) / len(pairs)
+    return min(by_link, by_record)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
