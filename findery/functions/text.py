@@ -14,9 +14,9 @@ def _col(c: Column | str) -> Column:
 
 
 def tokenize(text: Column | str) -> Column:
-    """Runs of letters and digits of any script, each lower-cased; null text has none."""
-    parts = F.filter(F.split(F.coalesce(_col(text), F.lit("")), NOT_WORD), lambda t: t != "")
-    return F.transform(parts, F.lower)
+    """Runs of letters and digits of any script, each lower-cased; null text has none. Lower-cased after the cut, as that can make marks that would cut; all in generated code."""
+    runs = F.lower(F.regexp_replace(F.coalesce(_col(text), F.lit("")), NOT_WORD, " "))
+    return F.array_remove(F.split(runs, " "), "")
 
 
 def searchable_text(title: Column | str, description: Column | str, tags: Column | str, body: Column | str) -> Column:
