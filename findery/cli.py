@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
     config = Config.load(args.config)
     spark = spark or SparkSession.builder.appName("findery").getOrCreate()
-    index = SearchIndex(spark, args.index or config.index, provider(config, args.mock_embeddings))
+    index = SearchIndex(spark, args.index or config.index, provider(config, args.mock_embeddings), recover=args.command != "search")
     if args.command == "add":
         index.add(load_bundle(spark, args.bundle))
     elif args.command == "update":
@@ -69,7 +69,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     elif args.command == "search":
         mode = SearchMode.lenient(args.mode)
         print(json.dumps([r.asDict() for r in index.search(args.query, mode, args.top_k).collect()], ensure_ascii=False, indent=1))
-        print(json.dumps(index.trace(args.query, mode).as_dict(), ensure_ascii=False), file=sys.stderr)
+        for part in index.trace(args.query, mode).parts():
+            sys.stderr.write(part)
+        sys.stderr.write("\n")
     elif args.command == "compact":
         index.compact()
     else:

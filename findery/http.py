@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import threading
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
-from findery.plans.index import SearchIndex
+from findery.plans.index import SearchIndex, Trace
 from findery.plans.model import DocumentInput, SearchMode
 from findery.sources.documents import from_inputs
 
@@ -53,7 +54,7 @@ def handle(index: SearchIndex, lock: threading.Lock, method: str, path: str, bod
     try:
         with lock:
             if path == "/search":
-                return 200, {"results": [r.asDict() for r in index.search(query, mode, k).collect()], "plan": index.trace(query, mode).as_dict()}
+                return 200, {"results": [r.asDict() for r in index.search(query, mode, k).collect()], "plan": index.trace(query, mode)}
             if path == "/documents/delete":
                 if keys:
                     index.delete_logical_keys(keys)
@@ -67,18 +68,41 @@ def handle(index: SearchIndex, lock: threading.Lock, method: str, path: str, bod
         return 500, {"status": str(e)}
 
 
+def json_parts(out: dict) -> Iterator[str]:
+    """The JSON of an answer in pieces; a trace is not gathered first."""
+    for i, (k, v) in enumerate(out.items()):
+        yield ("{" if not i else ", ") + json.dumps(k) + ": "
+        if isinstance(v, Trace):
+            yield from v.parts()
+        else:
+            yield json.dumps(v, ensure_ascii=False)
+    yield "}"
+
+
 def server(index: SearchIndex, bind: str) -> ThreadingHTTPServer:
     lock = threading.Lock()
 
     class Handler(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
         def answer(self) -> None:
             status, out = handle(index, lock, self.command, self.path, self.rfile.read(int(self.headers.get("Content-Length") or 0)))
-            data = json.dumps(out, ensure_ascii=False).encode()
             self.send_response(status)
             self.send_header("Content-Type", "application/json")
-            self.send_header("Content-Length", str(len(data)))
+            self.send_header("Transfer-Encoding", "chunked")
             self.end_headers()
-            self.wfile.write(data)
+            held: list[str] = []
+            for part in json_parts(out):
+                held.append(part)
+                if len(held) == 1000:
+                    self.chunk("".join(held).encode())
+                    held = []
+            self.chunk("".join(held).encode())
+            self.wfile.write(b"0\r\n\r\n")
+
+        def chunk(self, data: bytes) -> None:
+            if data:
+                self.wfile.write(f"{len(data):x}\r\n".encode() + data + b"\r\n")
 
         do_GET = do_POST = answer
 

@@ -41,19 +41,23 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokenize("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def scores(postings: DataFrame, stats: DataFrame, queries: DataFrame, dead: DataFrame | None = None, k1: float = scoring.K1, b: float = scoring.B, few_queries: bool = True) -> DataFrame:
-    """(query_id, doc_id, score): BM25 summed over terms, as often as the query has them, and segments.
+def term_values(postings: DataFrame, stats: DataFrame, terms: DataFrame, dead: DataFrame | None = None, k1: float = scoring.K1, b: float = scoring.B, few: bool = True) -> DataFrame:
+    """(doc_id, term, value): what each of the terms (term) gives to each live document of each segment.
 
-    Only postings of query terms are read on; their df counts dead documents, which are dropped after. few_queries says
-    that the caller has counted the query terms (at most SMALL_QUERIES): then they are broadcast, else joined by shuffle.
+    Only postings of these terms are read on; their df counts dead documents, which are dropped after. few says that the
+    caller has counted the terms (at most SMALL_QUERIES): then they are broadcast, else joined by shuffle.
     """
+    hit = postings.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    weights = document_frequency(hit).join(F.broadcast(stats), "segment_id").withColumn("weight", scoring.idf(F.col("n"), F.col("df"))).select("segment_id", "term", "weight", "avgdl")
+    keys = [] if dead is None else ["segment_id", "doc_id"] if "segment_id" in dead.columns else ["doc_id"]
+    live = hit.join(dead.select(*keys), keys, "left_anti") if keys else hit
+    per_term = live.join(F.broadcast(weights) if few else weights, ["segment_id", "term"])
+    return per_term.select("doc_id", "term", scoring.bm25_term(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("weight"), k1, b).alias("value"))
+
+
+def scores(postings: DataFrame, stats: DataFrame, queries: DataFrame, dead: DataFrame | None = None, k1: float = scoring.K1, b: float = scoring.B, few_queries: bool = False) -> DataFrame:
+    """(query_id, doc_id, score): BM25 summed over terms, as often as the query has them, and segments. few_queries: as few in term_values."""
     asked = query_terms(queries)
-    wanted = asked.select("term").distinct()
-    hit = postings.join(F.broadcast(wanted) if few_queries else wanted, "term", "left_semi")
-    weights = document_frequency(hit).join(F.broadcast(stats), "segment_id").withColumn("weight", scoring.idf(F.col("n"), F.col("df")))
-    live = hit if dead is None else hit.join(dead.select("segment_id", "doc_id") if "segment_id" in dead.columns else dead.select("doc_id"), ["segment_id", "doc_id"] if "segment_id" in dead.columns else ["doc_id"], "left_anti")
-    per_term = live.join(F.broadcast(weights.select("segment_id", "term", "weight", "avgdl")) if few_queries else weights.select("segment_id", "term", "weight", "avgdl"), ["segment_id", "term"])
-    value = scoring.bm25_term(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("weight"), k1, b)
-    per_term = per_term.select("doc_id", "term", value.alias("value"))
+    per_term = term_values(postings, stats, asked.select("term").distinct(), dead, k1, b, few_queries)
     matched = per_term.join(F.broadcast(asked) if few_queries else asked, "term")
     return matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("value")).alias("score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from copy import deepcopy
 from dataclasses import dataclass
 
@@ -9,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findery.functions.text import snippet
-from findery.operators import bm25, fusion, vectors
+from findery.operators import batch, bm25, fusion, vectors
 from findery.plans.model import DOCUMENT, SearchError, SearchMode
 from findery.plans.store import Manifest, Segment, Store, now
 from findery.sources.bundle import load_bundle
 
+SMALL_BYTES = 1 << 25
 RESULT = ["doc_id", "concept_path", "title", "type_name", "tags", "snippet", "bm25_score", "vector_score", "fused_score"]
 
 
@@ -26,18 +29,28 @@ class Trace:
     vector: DataFrame | None
     fused: DataFrame
 
-    def as_dict(self) -> dict:
-        pairs = lambda df, score: [] if df is None else [[r[0], r[1]] for r in df.orderBy(F.desc(score), "doc_id").select("doc_id", score).collect()]
-        return {"query": self.query, "lexical_candidates": pairs(self.lexical, "score"), "vector_candidates": pairs(self.vector, "score"), "fused": pairs(self.fused, "fused_score")}
+    def parts(self) -> Iterator[str]:
+        """Its JSON in pieces; a list passes through the driver a partition at a time."""
+        yield f'{{"query": {json.dumps(self.query, ensure_ascii=False)}'
+        for name, df, score in (("lexical_candidates", self.lexical, "score"), ("vector_candidates", self.vector, "score"), ("fused", self.fused, "fused_score")):
+            yield f', "{name}": ['
+            if df is not None:
+                for i, r in enumerate(df.orderBy(F.desc(score), "doc_id").select("doc_id", score).toLocalIterator()):
+                    yield (", " if i else "") + json.dumps([r[0], r[1]])
+            yield "]"
+        yield "}"
 
 
 class SearchIndex:
-    def __init__(self, spark: SparkSession, root: str, provider: vectors.EmbeddingProvider | None = None, compat: bool = False):
-        """Opens or creates an index. compat=True keeps tombstones as a ban on an id until compaction."""
+    def __init__(self, spark: SparkSession, root: str, provider: vectors.EmbeddingProvider | None = None, compat: bool = False, recover: bool = False):
+        """Opens or creates an index. compat=True keeps tombstones as a ban on an id until compaction.
+
+        recover=True, for the one writer, removes what an earlier writer left unfinished; a reader removes nothing.
+        """
         self.spark, self.provider, self.compat = spark, provider or vectors.MockProvider(), compat
         self.store = Store(spark, root)
         self.manifest = self.store.load()
-        self.recovered = self.store.recover(self.manifest)
+        self.recovered = self.store.recover(self.manifest) if recover else []
 
     def _commit(self, manifest: Manifest) -> None:
         self.store.commit(manifest)
@@ -53,12 +66,12 @@ class SearchIndex:
         rows = rows.withColumn("segment_id", F.lit(name)).withColumn("ord", F.monotonically_increasing_id())
         staging = self.store.write(rows, "segments", name, "documents")
         written = self.spark.read.parquet(f"{staging}/documents")
-        counts = bm25.tokens(written).agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).head()
+        counts = bm25.tokens(written).agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0)), F.count_distinct("doc_id")).head()
         if not counts[0]:
             self.store.remove(staging)
             return None
-        self.store.write(bm25.postings(written).repartitionByRange("term").sortWithinPartitions("term", "doc_id"), "segments", name, "postings")
-        return Segment(name, self.store.place(staging), counts[0], counts[1], at, generation)
+        self.store.write(bm25.postings(written).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "segments", name, "postings")
+        return Segment(name, self.store.place(staging), counts[0], counts[1], at, generation, counts[0] == counts[2])
 
     def _described(self, manifest: Manifest) -> Manifest:
         if manifest.segments and manifest.embedding_dimension not in (0, self.provider.dimension):
@@ -75,6 +88,9 @@ class SearchIndex:
         """Appends documents as a new segment, without looking for earlier copies. No rows, no segment."""
         m = self._described(deepcopy(self.manifest))
         if segment := self._segment(self._admitted(docs), m.generation + 1):
+            if m.segments:
+                new = self.spark.read.parquet(f"{segment.path}/documents").select("doc_id")
+                m.disjoint = m.disjoint and self.live().join(new, "doc_id", "left_semi").isEmpty()
             m.generation += 1
             m.segments.append(segment)
             self._commit(m)
@@ -126,11 +142,13 @@ class SearchIndex:
         """All live rows in one segment with statistics of its own; tombstones go."""
         rows = self.live()
         m = deepcopy(self.manifest)
-        segment = self._segment(rows.orderBy("segment_ord", "ord"), m.generation + 1, "compact") if rows is not None else None
+        if rows is not None and m.repeats:
+            rows = rows.orderBy("segment_ord", "ord")  # which of the rows of a document is the last
+        segment = self._segment(rows, m.generation + 1, "compact") if rows is not None else None
         if segment is None:
             raise SearchError("nothing to compact")
         m.generation += 1
-        m.segments, m.tombstones = [segment], []
+        m.segments, m.tombstones, m.disjoint = [segment], [], True
         self._commit(m)
         return segment
 
@@ -160,17 +178,43 @@ class SearchIndex:
             return lexical.select("query_id", "doc_id", F.col("score").alias("bm25_score"), none.alias("vector_score"), F.col("score").alias("fused_score"))
         return vector.select("query_id", "doc_id", none.alias("bm25_score"), F.col("score").alias("vector_score"), F.col("score").alias("fused_score"))
 
+    def _best(self, queries: list[str], mode: SearchMode, k: int) -> list[list[tuple]]:
+        """For each query its k best (doc_id, bm25_score, vector_score, fused_score)."""
+        lexical = vector = None
+        if mode != SearchMode.VECTOR:
+            asked = self.spark.createDataFrame([*enumerate(queries)], "query_id long, query string")
+            terms: list[dict[str, int]] = [{} for _ in queries]
+            for r in bm25.query_terms(asked).collect():
+                terms[r["query_id"]][r["term"]] = r["qtf"]
+            every = self.spark.createDataFrame([(t,) for t in {t for q in terms for t in q}], "term string")
+            p, n = self.manifest.bm25, sum(map(len, terms))
+            values = bm25.term_values(self.store.postings(self.manifest), self.store.stats(self.manifest), every, self.store.dead(self.manifest, self.compat), p["k1"], p["b"], n <= bm25.SMALL_QUERIES)
+            lexical = batch.lexical_list(values, terms)
+        if mode != SearchMode.LEXICAL:
+            vector = batch.vector_list(self.live(), self.provider.embed(queries), self.manifest.repeats)
+        if lexical and vector:
+            lexical.rows = lexical.rows.persist()
+            try:
+                return batch.fused_best(lexical, vector, k, self.manifest.rrf_k)
+            finally:
+                lexical.rows.unpersist()
+        return [[(i, s if lexical else None, None if lexical else s, s) for i, s in q] for q in (lexical or vector).best(k)]
+
     def search_many(self, queries: list[tuple[int, str]], mode: SearchMode | str = SearchMode.HYBRID, top_k: int = 10) -> DataFrame:
-        """Result rows of many queries (query_id, query) in one job: query_id, position and the result columns."""
-        empty = "query_id long, position int, " + ", ".join(f"{c} {'array<string>' if c == 'tags' else 'double' if c.endswith('score') else 'string'}" for c in RESULT)
-        if not self.manifest.segments or not queries:
+        """Result rows of many queries (query_id, query): query_id, position and the result columns. Finds the best at once, and gives their documents lazily."""
+        best = []
+        for a in range(0, len(queries) if self.manifest.segments else 0, batch.QUERY_BATCH):
+            part = queries[a : a + batch.QUERY_BATCH]
+            for (i, q), rows in zip(part, self._best([q for _, q in part], SearchMode(mode), top_k)):
+                best += [(i, q, n, *r) for n, r in enumerate(rows, 1)]
+        if not best:
+            empty = "query_id long, position int, " + ", ".join(f"{c} {'array<string>' if c == 'tags' else 'double' if c.endswith('score') else 'string'}" for c in RESULT)
             return self.spark.createDataFrame([], empty)
-        best = fusion.top(self._fused(*self._lists(queries, SearchMode(mode)), self.manifest.rrf_k), top_k).select("query_id", "position", "doc_id", "bm25_score", "vector_score", "fused_score")
-        asked = F.broadcast(self.spark.createDataFrame(queries, "query_id long, query string"))
-        few = top_k * len(queries) <= 100_000
-        wanted = best.select("doc_id").distinct()
+        rows = self.spark.createDataFrame(best, "query_id long, query string, position int, doc_id string, bm25_score double, vector_score double, fused_score double")
+        few = sum(len(r[1]) + len(r[3]) + 64 for r in best) <= SMALL_BYTES
+        wanted = rows.select("doc_id").distinct()
         docs = fusion.last_wins(self.live().join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"))
-        rows = docs.join(F.broadcast(best) if few else best, "doc_id").join(asked, "query_id")
+        rows = docs.join(F.broadcast(rows) if few else rows, "doc_id")
         return rows.withColumn("snippet", snippet("body", F.col("query"))).select("query_id", "position", *RESULT).orderBy("query_id", "position")
 
     def search(self, query: str, mode: SearchMode | str = SearchMode.HYBRID, top_k: int = 10) -> DataFrame:

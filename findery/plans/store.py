@@ -22,6 +22,7 @@ class Segment:
     total_tokens: int
     created_at: int
     generation: int
+    unique: bool = False  # no doc_id twice
 
 
 @dataclass
@@ -36,13 +37,19 @@ class Manifest:
     rrf_k: int = scoring.RRF_K
     segments: list[Segment] = field(default_factory=list)
     tombstones: list[str] = field(default_factory=list)
+    disjoint: bool = True  # no live doc_id in two segments
+
+    @property
+    def repeats(self) -> bool:
+        """Whether a live doc_id may have several rows."""
+        return not (self.disjoint and all(s.unique for s in self.segments))
 
     @classmethod
     def parse(cls, text: str) -> Manifest:
         data = json.loads(text)
         if data.get("format_version") != FORMAT_VERSION:
             raise ValueError(f"unknown manifest version {data.get('format_version')}")
-        return cls(**data | {"segments": [Segment(**s) for s in data["segments"]]})
+        return cls(**{"disjoint": False} | data | {"segments": [Segment(**s) for s in data["segments"]]})
 
 
 class Store:
@@ -74,12 +81,10 @@ class Store:
             raise OSError(f"can't rename {old}")
 
     def load(self) -> Manifest:
-        """The committed manifest, or a new one. A replaced manifest whose rename didn't end is found as manifest.next."""
-        at = self.manifest_path
+        """The committed manifest, or a new one. A first manifest whose rename didn't end is found as manifest.next."""
+        at = self.manifest_path if self.exists(self.manifest_path) else f"{self.root}/manifest.next"
         if not self.exists(at):
-            if not self.exists(f"{self.root}/manifest.next"):
-                return Manifest()
-            self.rename(f"{self.root}/manifest.next", at)
+            return Manifest()
         stream = self._fs.open(self._path(at))
         try:
             return Manifest.parse(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))

@@ -35,7 +35,7 @@ def test_golden_scores(index, spark):
     assert [r.bm25_score for r in rows] == [pytest.approx(0.668370180, abs=1e-8), pytest.approx(0.458959158, abs=1e-8), None]
     assert [round(r.vector_score, 6) for r in rows] == [0.750817, 0.746217, 0.721945]
     assert [round(r.fused_score, 9) for r in rows] == [0.032786885, 0.032258065, 0.015873016]
-    trace = index.trace("orders").as_dict()
+    trace = json.loads("".join(index.trace("orders").parts()))
     assert len(trace["lexical_candidates"]) == 2 and len(trace["vector_candidates"]) == 3 and trace["query"] == "orders"
     assert titles(index.search("orders", "lexical", 5)) == ["Orders", "Revenue"]
     assert len(titles(index.search("orders", "vector", 2))) == 2
@@ -83,7 +83,8 @@ def test_recovery(index, spark):
     index.add(from_inputs(spark, [ORDERS]))
     os.makedirs(f"{index.store.root}/segments/seg_dead.staging")
     os.makedirs(f"{index.store.root}/segments/seg_unlisted")
-    again = SearchIndex(spark, index.store.root)
+    assert SearchIndex(spark, index.store.root).recovered == [] and len(os.listdir(f"{index.store.root}/segments")) == 3  # a reader removes nothing
+    again = SearchIndex(spark, index.store.root, recover=True)
     assert len(again.recovered) == 2 and len(os.listdir(f"{index.store.root}/segments")) == 1
     assert titles(again.search("orders")) == ["Orders"]
 
@@ -133,7 +134,7 @@ def test_http(index, spark):
     doc = {"bundle_path": "b", "file_path": "b/a.md", "frontmatter": {"title": "Orders"}, "body": "orders"}
     assert handle(index, lock, "POST", "/documents", json.dumps(doc).encode())[0] == 200
     status, out = handle(index, lock, "POST", "/search", b'{"query":"orders","mode":"hybrid","top_k":5}')
-    assert status == 200 and out["results"][0]["title"] == "Orders" and out["plan"]["query"] == "orders"
+    assert status == 200 and out["results"][0]["title"] == "Orders" and out["plan"].query == "orders"
     assert handle(index, lock, "POST", "/search", b'{"query":"x","mode":"odd"}')[0] == 422
     assert handle(index, lock, "POST", "/documents/delete", b'{"logical_keys":["b::a"]}')[0] == 200
     assert handle(index, lock, "POST", "/search", b'{"query":"orders"}')[1]["results"] == []
@@ -141,6 +142,8 @@ def test_http(index, spark):
     threading.Thread(target=s.serve_forever, daemon=True).start()
     for path in ("health", "openapi.json"):
         assert urllib.request.urlopen(f"http://127.0.0.1:{s.server_address[1]}/{path}").status == 200
+    request = urllib.request.Request(f"http://127.0.0.1:{s.server_address[1]}/search", b'{"query":"orders"}')
+    assert json.loads(urllib.request.urlopen(request).read())["plan"] == {"query": "orders", "lexical_candidates": [], "vector_candidates": [], "fused": []}
     s.shutdown()
 
 
@@ -165,3 +168,84 @@ def test_streaming(spark, tmp_path):
     index = SearchIndex(spark, str(tmp_path / "i"))
     stream_into(spark.readStream.schema(RAW).parquet(str(tmp_path / "in")), index, str(tmp_path / "cp"), available_now=True).awaitTermination()
     assert titles(index.search("orders")) == ["Orders"]
+
+
+def test_batches_equal_whole_rankings(spark, tmp_path):
+    """Many documents, ties, repeats and dead ones: the best by pruned places are those of the whole lists."""
+    import random
+
+    from findery.operators import fusion
+
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    docs = [DocumentInput("b", f"b/{i}.md", {}, " ".join(r.choice(words[: r.randint(1, 40)]) for _ in range(r.randint(0, 12)))) for i in range(400)]
+    index = SearchIndex(spark, str(tmp_path / "i"), MockProvider(4))
+    index.add(from_inputs(spark, docs))
+    queries = [(i, " ".join(r.choice(words) for _ in range(r.randint(1, 4)))) for i in range(6)] + [(6, "none"), (7, "")]
+
+    def equal():
+        for mode in ("lexical", "vector", "hybrid"):
+            got = {(x.query_id, x.position): (x.doc_id, x.bm25_score, x.vector_score, round(x.fused_score, 12)) for x in index.search_many(queries, mode, 5).collect()}
+            want = {}
+            for i, q in queries:
+                for x in fusion.top(index.trace(q, mode).fused, 5).collect():
+                    want[i, x.position] = (x.doc_id, x.bm25_score, x.vector_score, round(x.fused_score, 12))
+            assert got == want, mode
+
+    assert not index.manifest.repeats
+    equal()
+    index.add(from_inputs(spark, docs[:50]))
+    index.delete_logical_keys([f"b::{i}" for i in range(100, 120)])
+    assert index.manifest.repeats
+    equal()
+    index.add(from_inputs(spark, docs[100:110]))  # back from the dead; 50 documents are in two segments
+    index.compact()
+    assert index.manifest.repeats and SearchIndex(spark, index.store.root).manifest == index.manifest
+    assert len({x.doc_id for x in index.search_many(queries, "vector", 400).filter("query_id = 0").collect()}) == 390
+
+
+def test_chunks_keep_rows_of_a_document_together():
+    import pyarrow as pa
+    from findery.operators.batch import chunks
+
+    ids = [f"d{i:03}" for i in range(50) for _ in range(1 + i % 4)]
+    for size in (1, 3, 7, 1000):
+        for step in (1, 5, 200):
+            batches = [pa.record_batch([pa.array(ids[a : a + step])], names=["doc_id"]) for a in range(0, len(ids), step)]
+            got = [t.column("doc_id").to_pylist() for t in chunks(iter(batches), size)]
+            assert sum(got, []) == ids and all(a[-1] != b[0] for a, b in zip(got, got[1:]))
+
+
+def test_model_provider_with_a_stand_in_session():
+    import pickle
+
+    import numpy as np
+    from findery.operators.vectors import OnnxProvider
+
+    class Encoding:
+        def __init__(self, ids, mask):
+            self.ids, self.attention_mask = ids, mask
+
+    class Tokens:
+        def encode_batch(self, texts):
+            most = max(len(t.split()) for t in texts)
+            return [Encoding([len(w) for w in t.split()] + [0] * (most - len(t.split())), [1] * len(t.split()) + [0] * (most - len(t.split()))) for t in texts]
+
+    class Input:
+        def __init__(self, name):
+            self.name = name
+
+    class Session:
+        def get_inputs(self):
+            return [Input("input_ids"), Input("attention_mask")]
+
+        def run(self, _, feeds):
+            assert set(feeds) == {"input_ids", "attention_mask"}
+            return [np.stack([feeds["input_ids"], np.full(feeds["input_ids"].shape, 9)], 2).astype(float)]  # padding would count if it weren't masked
+
+    p = OnnxProvider("no.onnx", "no.json", 2)
+    p._loaded = Tokens(), Session()
+    got = p.embed(["aaa a", "bb bb bb bb"])
+    for row, mean in zip(got, ([2, 9], [2, 9])):
+        assert row == pytest.approx((np.array(mean) / np.linalg.norm(mean)).tolist())
+    assert pickle.loads(pickle.dumps(p))._loaded is None  # each worker loads its own
