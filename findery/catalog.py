@@ -7,6 +7,7 @@ doc_id modulo 3, and documents with doc_id modulo 50 = 7 are dead.
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,6 +19,7 @@ from findery.operators import bm25, fusion, vectors
 from findery.plans.index import SearchIndex
 from findery.sources.bundle import load_bundle
 from findery.sources.documents import normalized
+from findery.sources.tables import spread, table
 
 QUERY = "the ouaié restion THE"
 K = 10
@@ -35,16 +37,12 @@ def query(sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select((F.col("doc_id") % 3).cast("string").alias("segment_id"), "doc_id", F.col("text").alias("searchable_text"))
+    return spread(table(spark, sf_dir, "documents")).select((F.col("doc_id") % 3).cast("string").alias("segment_id"), "doc_id", F.col("text").alias("searchable_text"))
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, none = table(spark, sf_dir, "documents"), F.lit(None).cast("string")
+    d, none = spread(table(spark, sf_dir, "documents")), F.lit(None).cast("string")
     file = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
     return d.select(F.col("source").alias("bundle_path"), file.alias("file_path"), F.col("lang").alias("type"), none.alias("title"), none.alias("description"), none.alias("resource"), none.alias("timestamp"), F.array("lang", F.when(F.col("n_chars") > 1000, "long")).alias("tags"), F.col("text").alias("body"))
 
@@ -63,7 +61,7 @@ def lexical(spark: SparkSession, sf_dir: str, *texts: str, without: DataFrame |
 
 
 def mock_scores(spark: SparkSession, sf_dir: str, q: str = QUERY) -> DataFrame:
-    docs = corpus(spark, sf_dir).join(F.broadcast(dead(spark, sf_dir)), "doc_id", "left_anti")
+    docs = corpus(spark, sf_dir).join(dead(spark, sf_dir), "doc_id", "left_anti")
     provider = vectors.MockProvider(16)
     return vectors.scores(vectors.embedded(docs, provider).select("doc_id", "embedding"), [(0, provider.embed([q])[0])])
 
@@ -96,7 +94,7 @@ FUSED = f"{lex(QUERY, True)}, {VEC}, {RANKS}, fused as (select doc_id, bm, lr, v
 
 @query(f"select doc_id, array_to_string(list_transform({T_DOC}, lambda x: lower(x)), ' ') as terms from documents")
 def tokenize_terms(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.tokenize("text"), " ").alias("terms"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.array_join(text.tokenize("text"), " ").alias("terms"))
 
 
 @query(f"select doc_id, len({T_DOC})::bigint as dl from documents")
@@ -157,11 +155,10 @@ def lexical_search_topk(spark, sf_dir):
     return best.select("doc_id", "score", "rank")
 
 
-@query(f"with {MOCK} select doc_id, k::int as k, round(v, 9) as v from v")
+@query(f"with {MOCK} select d.doc_id, d.k::int as k, round(coalesce(v, 0), 9) as v from (select doc_id, unnest(range(16)) as k from documents) d left join v using (doc_id, k)")
 def mock_embedding(spark, sf_dir):
-    rows = vectors.embedded(table(spark, sf_dir, "documents").filter("text <> ''"), vectors.MockProvider(16), "text")
-    e = rows.select("doc_id", F.octet_length("text").alias("bytes"), F.posexplode("embedding").alias("k", "v"))
-    return e.filter("k < bytes").select("doc_id", "k", F.round("v", 9).alias("v"))
+    rows = vectors.embedded(spread(table(spark, sf_dir, "documents")), vectors.MockProvider(16), "text")
+    return rows.select("doc_id", F.posexplode("embedding").alias("k", "v")).withColumn("v", F.round("v", 9))
 
 
 COS = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::double * z[2]::double))"
@@ -271,12 +268,15 @@ ORACLE_SQL["snippet_fallback"] = "select doc_id, substring(text, 1, 160) as snip
 
 @query("select doc_id, n_chars from documents where doc_id % 50 <> 7")
 def tombstone_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(F.broadcast(dead(spark, sf_dir)), "doc_id", "left_anti").select("doc_id", "n_chars")
+    return table(spark, sf_dir, "documents").join(dead(spark, sf_dir), "doc_id", "left_anti").select("doc_id", "n_chars")
 
 
-def shared_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{root.rstrip('/')}/index-{uuid.uuid4().hex}"
+def shared_root(spark: SparkSession, kind: str = "index") -> str:
+    """A new folder that all executors share; on one machine alone it may be a local one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return f"{(root or tempfile.gettempdir() + '/checkpoints').rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
 def built(spark: SparkSession, sf_dir: str) -> tuple[SearchIndex, DataFrame]:
@@ -318,12 +318,38 @@ def readd_after_delete(spark, sf_dir):
     return post_state(index)
 
 
-@query(f"with dead as (select 0 as doc_id where false), {VEC} select doc_id, round(2 * s, 6) as score from vec")
+#: The stored index has one segment; its ids and texts are those of normalized().
+STORED = f"docs as (select sha256(source || chr(0) || {FILE} || chr(0) || text) as doc_id, {TAGS} || chr(10) || text as text, text as body, lang, {FILE} as file_path, doc_id::varchar as concept_path from documents)"
+
+
+def stored(sql: str) -> str:
+    """The same SQL over the stored index's documents, none of them dead."""
+    sql = sql.replace("with d as (select *, (doc_id % 3)::varchar as segment_id from documents)", f"with {STORED}, d as (select *, 'one' as segment_id from docs)")
+    return sql.replace("as l from documents)", "as l from docs)").replace("dead as (select doc_id from documents where doc_id % 50 = 7)", "dead as (select doc_id from docs where false)")
+
+
+def _searched(mode: str, sql: str):
+    def run(spark, sf_dir):
+        index, _ = built(spark, sf_dir)
+        found = SearchIndex(spark, index.store.root).search_many([(0, QUERY)], mode, K)
+        return found.select("position", "doc_id", "concept_path", "type_name", F.array_join("tags", " ").alias("tags"), "snippet", "bm25_score", "vector_score", F.round("fused_score", 12).alias("fused_score"))
+
+    rows = f"concept_path, lang as type_name, case when length(body) > 1000 then lang || ' long' else lang end as tags, substring(body, 1, 160) as snippet"
+    QUERIES[f"index_search_{mode}"] = run
+    ORACLE_SQL[f"index_search_{mode}"] = stored(f"{sql}, best as (select *, row_number() over (order by fused desc, doc_id)::int as position from hits qualify position <= {K}) select position, doc_id, {rows}, bm as bm25_score, vs as vector_score, round(fused, 12) as fused_score from best join docs using (doc_id)")
+
+
+_searched("hybrid", f"{FUSED}, hits as (select * from fused)")
+_searched("lexical", f"{lex(QUERY, True)}, hits as (select doc_id, round(s, 9) as bm, null::double as vs, round(s, 9) as fused from lex)")
+_searched("vector", f"{INDEX}, {VEC}, hits as (select doc_id, null::double as bm, round(s, 9) as vs, round(s, 9) as fused from vec)")
+
+
+@query(stored(f"{INDEX}, {VEC} select doc_id, round(2 * s, 6) as vector_score from vec qualify row_number() over (order by s desc, doc_id) <= {K}"))
 def add_duplicates_sum(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
-    twice = vectors.embedded(docs.unionByName(docs), vectors.MockProvider(16))
-    s = vectors.scores(twice.select("doc_id", "embedding"), [(0, vectors.MockProvider(16).embed([QUERY])[0])])
-    return s.select("doc_id", F.round("score", 6).alias("score"))
+    """Rows that were added twice count twice."""
+    index, docs = built(spark, sf_dir)
+    index.add(docs)
+    return index.search_many([(0, QUERY)], "vector", K).select("doc_id", F.round("vector_score", 6).alias("vector_score"))
 
 
 @query(f"select {FILE} as file_path, sha256(text) as body_sha256, 1::bigint as copies from documents where doc_id % 50 <> 7")
@@ -334,13 +360,21 @@ def compact_live_docs(spark, sf_dir):
     return post_state(index)
 
 
-ONE_SEGMENT = INDEX.replace("(doc_id % 3)::varchar as segment_id from documents", "'one' as segment_id from documents where doc_id % 50 <> 7")
+@query(stored(lex(QUERY)).replace("'one' as segment_id from docs", "'one' as segment_id from docs where concept_path::bigint % 50 <> 7") + f" select doc_id, round(s, 6) as bm25_score from lex qualify row_number() over (order by round(s, 9) desc, doc_id) <= {K}")
+def compact_bm25(spark, sf_dir):
+    """After compaction the dead no longer count."""
+    index, docs = built(spark, sf_dir)
+    index.delete_doc_ids(docs.filter(F.col("concept_path").cast("long") % 50 == 7))
+    index.compact()
+    return index.search_many([(0, QUERY)], "lexical", K).select("doc_id", F.round("bm25_score", 6).alias("bm25_score"))
 
 
-@query(lex(QUERY).replace(INDEX, ONE_SEGMENT) + " select doc_id, round(s, 6) as score from lex")
-def compact_bm25(spark, sf_dir):
-    docs = corpus(spark, sf_dir).join(F.broadcast(dead(spark, sf_dir)), "doc_id", "left_anti").withColumn("segment_id", F.lit("one"))
-    return bm25.scores(bm25.postings(docs), bm25.segment_stats(docs), asked(spark, QUERY)).select("doc_id", F.round("score", 6).alias("score"))
+@query(stored(FUSED).replace("dead as (select doc_id from docs where false)", "dead as (select doc_id from docs where concept_path::bigint % 50 = 7)") + f" select doc_id, bm as bm25_score, vs as vector_score, round(fused, 12) as fused_score from fused order by fused desc, doc_id limit {K}")
+def index_search_tombstoned(spark, sf_dir):
+    """Dead documents aren't found, and their words still count."""
+    index, docs = built(spark, sf_dir)
+    index.delete_doc_ids(docs.filter(F.col("concept_path").cast("long") % 50 == 7))
+    return index.search_many([(0, QUERY)], "hybrid", K).select("doc_id", "bm25_score", "vector_score", F.round("fused_score", 12).alias("fused_score"))
 
 
 @query(f"{FUSED}, best as (select * from fused order by fused desc, doc_id limit {K}) select {FILE} as file_path, lang as type_name, substring(text, 1, 160) as snippet, bm as bm25_score, vs as vector_score, round(fused, 12) as fused_score from best join documents using (doc_id)")
@@ -358,26 +392,35 @@ def last_wins_dedup(spark, sf_dir):
     return fusion.last_wins(d.unionByName(later)).select("doc_id", "version")
 
 
-@query()
+BUNDLE = {"a.md": "---\ntype: Metric\ntitle: Orders\ntags:\n  - sales\n---\nhello world\n", "_x/.h.md": "plain\n", "c.md.md": "---\ntitle: 123\n---\nbody", "n.MD": "no"}
+
+
+@query("select * from (values ('a', 'Metric', 'Orders', 'hello world', 'Orders' || chr(10) || 'sales' || chr(10) || 'hello world'), ('_x/.h', 'Unknown', null, 'plain' || chr(10), 'plain' || chr(10)), ('c', 'Unknown', null, 'body', 'body')) as t(concept_path, type_name, title, body, searchable_text)")
 def bundle_load(spark, sf_dir):
-    """Writes a small bundle beside the shared files and loads it, hidden files too."""
-    root = "/tmp/findery-bundle-" + uuid.uuid4().hex
-    for name, body in (("a.md", "---\ntype: Metric\ntitle: Orders\ntags:\n  - sales\n---\nhello world\n"), ("_x/.h.md", "plain\n"), ("c.md.md", "---\ntitle: 123\n---\nbody")):
+    """Writes a small bundle to the shared folder and loads it, hidden files too. A title that isn't text is none."""
+    root = shared_root(spark, "bundle").removeprefix("file:").replace("///", "/")
+    for name, body in BUNDLE.items():
         os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
         with open(f"{root}/{name}", "w", encoding="utf-8") as f:
             f.write(body)
     return load_bundle(spark, root).select("concept_path", "type_name", "title", "body", "searchable_text")
 
 
-@query()
+@query(stored(f"{FUSED} select doc_id, round(fused, 12) as fused_score, lr as lexical_rank, vr as vector_rank from fused order by fused desc, doc_id limit {K}"))
 def reopen_index(spark, sf_dir):
+    """A trace's whole lists, from an index that is opened again."""
     index, _ = built(spark, sf_dir)
-    return SearchIndex(spark, index.store.root).search(QUERY, "hybrid", K)
+    fused = SearchIndex(spark, index.store.root).trace(QUERY).fused
+    return fusion.top(fused, K).select("doc_id", F.round("fused_score", 12).alias("fused_score"), "lexical_rank", "vector_rank")
 
 
-@query()
+@query("select * from (values ('seg_dead.staging'), ('seg_unlisted')) as t(removed)")
 def recovery(spark, sf_dir):
+    """A writer's open removes what no manifest lists; a reader's doesn't."""
     index, docs = built(spark, sf_dir)
-    docs.limit(1).write.parquet(f"{index.store.root}/segments/seg_dead.staging/documents")
-    again = SearchIndex(spark, index.store.root)
+    for name in ("seg_dead.staging", "seg_unlisted"):
+        docs.limit(1).write.parquet(f"{index.store.root}/segments/{name}/documents")
+    if SearchIndex(spark, index.store.root).recovered:
+        raise RuntimeError("a reader removed files")
+    again = SearchIndex(spark, index.store.root, recover=True)
     return spark.createDataFrame([(os.path.basename(p),) for p in again.recovered], "removed string")

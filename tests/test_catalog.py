@@ -40,3 +40,17 @@ def test_distributed_ranks_equal_local_ones(spark, monkeypatch, tmp_path):
     s = spark.range(1000).select((F.col("id") % 3).alias("query_id"), F.col("id").cast("string").alias("doc_id"), (F.pmod(F.xxhash64("id"), F.lit(50)) / 10).alias("score"))
     of = lambda df: {(r.query_id, r.doc_id, r.score, r["rank"]) for r in df.collect()}
     assert of(fusion.ranked(s, 1000)) == of(fusion.ranked(s))
+
+
+def test_tokens_are_lower_cased_after_the_cut(spark):
+    texts = ["", None, " ", "ΑΣ'Β ΟΔΟΣ", "İstanbul x", "a\tb\u00a0c", "--", "ǅ ﬀ ẞ", "e\u0301 É"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    each = F.transform(F.filter(F.split(F.coalesce("t", F.lit("")), text.NOT_WORD), lambda t: t != ""), F.lower)
+    assert all(r.a == r.b for r in rows.select(text.tokenize("t").alias("a"), each.alias("b")).collect())
+
+
+def test_snippets_near_wide_characters(spark):
+    body = "😀é" * 30 + "Straße ZIEL" + "ü😀" * 50
+    at = body.index("ZIEL")
+    row = spark.createDataFrame([(body,)], "b string").select(text.snippet("b", F.lit("ziel")).alias("s"), text.snippet("b", F.lit("fehlt")).alias("e")).head()
+    assert row.s == body[at - 40 : at + 4 + 80] and row.e == body[:160]
