@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from findery.sources.tables import spread
+
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 MOST_HOT, LEAST_HOT = 10_000, 1_000
@@ -22,7 +24,8 @@ BROADCAST_BYTES = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a folder; one of fewer files than cores is dealt out over them, as a file of one row group is one task."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -221,12 +221,12 @@ def token_matrix(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eos:
 
 
 def write_token_matrix(matrix: DataFrame, path: str) -> None:
-    """Binary sink: Parquet files of matrix rows, committed by Spark's writer, so that a lost task leaves no half file."""
+    """Binary sink: Parquet files of matrix rows, committed by Spark's writer, so that a lost task leaves no half file. No rows, an empty table."""
     matrix.write.mode("errorifexists").option("compression", "zstd").parquet(path)
 
 
 def read_token_matrix(spark, path: str) -> DataFrame:
-    """Segments of a written matrix, with their ids: (doc_id, start, ids)."""
+    """Segments of a written matrix, with their ids: (doc_id, start, ids). Of an empty table none."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():

@@ -173,6 +173,24 @@ def test_quality_decisions(spark):
     assert all(r.kept == (r.n_words > 0) for r in quality_lm.classify(docs, labels.limit(0)).collect())
 
 
+def test_quality_thresholds_equal_brute_force(spark):
+    docs, labels, _, _ = quality_tables(spark)
+    rows = quality_lm.perplexities(docs, labels).collect()
+    got = {(r.doc_id, r.key): r for r in quality_lm.classify(docs, labels).collect()}
+    element = lambda x, q: sorted(x)[max(0, math.ceil(q * len(x)) - 1)]
+    held = [(r.lang, math.log(r.perplexity), r.n_words) for r in rows if r.trusted and r.held and r.perplexity]
+    langs = {r.lang for r in rows} - {None}
+    middle = {k: element([p for x, p, _ in held if x == k], 0.5) for k in langs if any(x == k for x, _, _ in held)}
+    every = element([p for _, p, _ in held], 0.5)
+    drawn = lambda k, p, n: (p * n + middle.get(k, every) * quality_lm.PRIOR_WORDS) / (n + quality_lm.PRIOR_WORDS)
+    limit = lambda of: element([drawn(k, p, n) for k, p, n in held if of is None or k == of], quality_lm.QUANTILE) + quality_lm.SLACK
+    for r in rows:
+        x = got[r.doc_id, r.key]
+        most = limit(r.lang) if r.lang in middle else limit(None)
+        assert math.log(x.threshold) == pytest.approx(most)
+        assert x.kept == (r.perplexity is not None and drawn(r.lang, math.log(r.perplexity), r.n_words) <= most + 1e-12)
+
+
 def brute_spans(rows, least, words):
     """First occurrences by (doc_id, place); returns the sentences to remove by row."""
     places = {}
@@ -273,6 +291,24 @@ def test_long_secrets_are_masked_whole(spark):
     assert clean == {i: f"{before}{secret_scan.MASK}\" and more." for i, (_, before, _) in enumerate(values)}
 
 
+def test_candidates_equal_a_plain_search(spark):
+    """Spans, kinds and values of all candidates by another regular-expression engine."""
+    import regex
+
+    r = random.Random(12)
+    pieces = ["token = \"", "password: '", "API_KEY=>", "my secret:=", "AKIA" + "Q7X2M9K4T8B3V6N1", "ghp_" + "aB3" * 13, "sk_live_" + "x9" * 10, "AIza" + "k" * 35, "xoxb-123456789012-abc", f"eyJ{HEX}.eyJ{HEX}.{HEX}", HEX, "-----BEGIN RSA PRIVATE KEY-----\nabc+/=\n-----END RSA PRIVATE KEY-----", "\"", "'", " ", "\n", ";", "word", "É😀", "${X}", "secret", "12345678", "==", "/etc/pass"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 25))) for _ in range(400)]
+    found, head = regex.compile(secret_scan.CANDIDATE), regex.compile(secret_scan.HEAD)
+    want = []
+    for i, t in enumerate(texts):
+        for m in found.finditer(t):
+            value = head.sub("", m.group(), count=1)
+            kind = next((k for k, p in secret_scan.FORMATS.items() if regex.match(p, value)), "assigned")
+            want.append((i, m.end() - len(value), len(value), kind, value))
+    got = secret_scan.scan(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)).collect()
+    assert sorted((x.doc_id, x.start, x.length, x.kind, x.value) for x in got) == sorted(want) and len(want) > 300
+
+
 def test_forest_on_held_out_findings(spark):
     rows = secret_scan.generated_findings(spark, 120).withColumn("fold", F.pmod(F.xxhash64("match"), F.lit(4)))
     model = secret_scan.train_forest(rows.filter("fold > 0").drop("fold"))
