@@ -66,6 +66,12 @@ def mock_scores(spark: SparkSession, sf_dir: str, q: str = QUERY) -> DataFrame:
     return vectors.scores(vectors.embedded(docs, provider).select("doc_id", "embedding"), [(0, provider.embed([q])[0])])
 
 
+def best_of(scores: DataFrame) -> DataFrame:
+    """The K best of one list, which is cut before it is shuffled."""
+    best = fusion.top(scores.withColumn("score", F.round("score", scoring.DIGITS)), K, "score")
+    return best.select("doc_id", "score", F.col("position").cast("long").alias("rank"))
+
+
 TOK = "list_filter(string_split_regex({c}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 T_DOC, T_QUERY = TOK.format(c="text"), TOK.format(c=f"'{QUERY}'")
 INDEX = f"""with d as (select *, (doc_id % 3)::varchar as segment_id from documents),
@@ -151,8 +157,7 @@ def bm25_tombstoned_stats(spark, sf_dir):
 
 @query(f"{lex(QUERY, True)} select doc_id, round(s, 9) as score, row_number() over (order by round(s, 9) desc, doc_id) as rank from lex qualify rank <= {K}")
 def lexical_search_topk(spark, sf_dir):
-    best = fusion.top(fusion.ranked(lexical(spark, sf_dir, QUERY, without=dead(spark, sf_dir))), K, "score")
-    return best.select("doc_id", "score", "rank")
+    return best_of(lexical(spark, sf_dir, QUERY, without=dead(spark, sf_dir)))
 
 
 @query(f"with {MOCK} select d.doc_id, d.k::int as k, round(coalesce(v, 0), 9) as v from (select doc_id, unnest(range(16)) as k from documents) d left join v using (doc_id, k)")
@@ -168,8 +173,7 @@ COS = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::double * z[2]
 def cosine_embeddings_topk(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     q = rows.filter("doc_id = 0").head()
-    best = fusion.top(fusion.ranked(vectors.scores(rows, [(0, list(q.embedding))])), K, "score")
-    return best.select(F.col("doc_id").alias("vec_id"), "score")
+    return best_of(vectors.scores(rows, [(0, list(q.embedding))])).select(F.col("doc_id").alias("vec_id"), "score")
 
 
 @query("select vec_id, 0.0::double as score from embeddings")
@@ -180,7 +184,7 @@ def cosine_zero_vector(spark, sf_dir):
 
 @query(f"with dead as (select doc_id from documents where doc_id % 50 = 7), {VEC} select doc_id, round(s, 9) as score, row_number() over (order by round(s, 9) desc, doc_id) as rank from vec qualify rank <= {K}")
 def vector_search_topk(spark, sf_dir):
-    return fusion.top(fusion.ranked(mock_scores(spark, sf_dir)), K, "score").select("doc_id", "score", "rank")
+    return best_of(mock_scores(spark, sf_dir))
 
 
 def fused(spark, sf_dir) -> DataFrame:
@@ -199,8 +203,8 @@ def hybrid_search_topk(spark, sf_dir):
 
 @query(f"{FUSED} select doc_id, lr as lexical_rank, vr as vector_rank, row_number() over (order by fused desc, doc_id) as fused_rank from fused")
 def hybrid_trace(spark, sf_dir):
-    every = fusion.top(fused(spark, sf_dir), 1 << 30)
-    return every.select("doc_id", "lexical_rank", "vector_rank", F.col("position").cast("long").alias("fused_rank"))
+    every = fusion.ranked(fused(spark, sf_dir), score="fused_score", rank="fused_rank", digits=None)
+    return every.select("doc_id", "lexical_rank", "vector_rank", "fused_rank")
 
 
 T_ITEM = TOK.format(c="text")

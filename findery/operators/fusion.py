@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,26 +12,35 @@ from findery.functions import scoring
 ONE_TASK_ROWS = 2_000_000
 
 
-def ranked(scores: DataFrame, rows: int | None = None) -> DataFrame:
-    """Adds rank (from 1) by falling score, rounded, and then doc_id, for each query.
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the folder that spark.checkpoint.dir names; a local one is set where there is none and all runs on one machine."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
+def ranked(scores: DataFrame, rows: int | None = None, score: str = "score", rank: str = "rank", digits: int | None = scoring.DIGITS) -> DataFrame:
+    """Adds rank (from 1) by falling score, rounded to `digits`, and then doc_id, for each query.
 
-    A query's list of up to ONE_TASK_ROWS is ranked in one task. Longer lists are sorted in ranges over all tasks: a row's
-    rank is its place in its range and the lengths of the ranges before it.
+    Lists that are known to have at most ONE_TASK_ROWS rows together are ranked in one task for each query. Others are
+    sorted in ranges over all tasks: a row's rank is its place in its range and the lengths of the ranges before it.
     """
-    scores = scores.withColumn("score", F.round("score", scoring.DIGITS))
-    order = [F.desc("score"), F.asc("doc_id")]
-    if rows is None or rows <= ONE_TASK_ROWS:
-        return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long"))
-    context = scores.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir("/tmp/checkpoints")  # where none is set, as in tests
-    parts = max(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ONE_TASK_ROWS))
-    dealt = scores.repartitionByRange(parts, F.asc("query_id"), *order).withColumn("range", F.spark_partition_id()).checkpoint()
+    if digits is not None:
+        scores = scores.withColumn(score, F.round(score, digits))
+    order = [F.desc(score), F.asc("doc_id")]
+    if rows is not None and rows <= ONE_TASK_ROWS:
+        return scores.withColumn(rank, F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long"))
+    parts = max(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(rows or 0) // ONE_TASK_ROWS))
+    dealt = checkpointed(scores.repartitionByRange(parts, F.asc("query_id"), *order).withColumn("range", F.spark_partition_id()))
     lengths = dealt.groupBy("query_id", "range").agg(F.count(F.lit(1)).alias("length"))
     before = F.coalesce(F.sum("length").over(Window.partitionBy("query_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     place = F.row_number().over(Window.partitionBy("query_id", "range").orderBy(*order))
-    placed = dealt.withColumn("place", place).join(F.broadcast(lengths.withColumn("before", before).drop("length")), ["query_id", "range"])
-    return placed.withColumn("rank", (F.col("place") + F.col("before")).cast("long")).drop("range", "place", "before")
+    placed = dealt.withColumn("place", place).join(lengths.withColumn("before", before).drop("length"), ["query_id", "range"])
+    return placed.withColumn(rank, (F.col("place") + F.col("before")).cast("long")).drop("range", "place", "before")
 
 
 def rrf(lexical: DataFrame, vector: DataFrame, k: int = scoring.RRF_K) -> DataFrame:

@@ -39,7 +39,7 @@ def test_distributed_ranks_equal_local_ones(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(fusion, "ONE_TASK_ROWS", 100)
     s = spark.range(1000).select((F.col("id") % 3).alias("query_id"), F.col("id").cast("string").alias("doc_id"), (F.pmod(F.xxhash64("id"), F.lit(50)) / 10).alias("score"))
     of = lambda df: {(r.query_id, r.doc_id, r.score, r["rank"]) for r in df.collect()}
-    assert of(fusion.ranked(s, 1000)) == of(fusion.ranked(s))
+    assert of(fusion.ranked(s, 1000)) == of(fusion.ranked(s)) == of(fusion.ranked(s, 100))
 
 
 def test_tokens_are_lower_cased_after_the_cut(spark):

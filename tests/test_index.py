@@ -98,6 +98,12 @@ def test_frontmatter():
     assert f == {"a": "2024-01-01", "b": "yes", "c": "12:30", "d": 123, "e": True, "f": None, "g": 1.5, "h": None}
     with pytest.raises(Exception):
         split_frontmatter("---\na: 1\na: 2\n---\n")
+    assert split_frontmatter("---\ntitle: x\r\n---\r\none\r\ntwo\r\n") == ({"title": "x"}, "one\ntwo")  # CRLF lines
+    import yaml
+
+    for bad in ("a: [", "a: b: c", "\ta: 1", "a: 'x"):
+        with pytest.raises(yaml.YAMLError):
+            split_frontmatter(f"---\n{bad}\n---\n")
 
 
 def test_bundle(spark, tmp_path):
