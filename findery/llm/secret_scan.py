@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from findery.llm.common import saved
+from findery.llm.common import fits_broadcast, reading, saved
 
 NAMES = r"(?i:(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)[a-z0-9_-]{0,20})"
 #: Public key formats.
@@ -129,15 +129,25 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
 
 
 def redact(docs: DataFrame, findings: DataFrame | None = None, threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
-    """All rows and columns of docs, with each secret's value in `text` replaced by the mask. Nulls stay; texts without secrets stay as they are."""
+    """All rows and columns of docs, with each secret's value in `text` replaced by the mask. Nulls stay; texts without secrets stay as they are.
+
+    Texts with candidates are rewritten and saved. The others are those whose 128-bit hash isn't among theirs; only where
+    these hashes are too many to broadcast, all texts are searched a second time. An empty table stays empty.
+    """
     names = [c for c in docs.columns if c != "text"]
     own = {c: f"__c{i}" for i, c in enumerate(names)}
-    renamed = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in own.items()), "text")
-    clean = docs.filter(F.col("text").isNull() | ~F.col("text").rlike(CANDIDATE))
+    hashes = {"__h0": F.xxhash64("text"), "__h1": F.xxhash64(F.lit("text"), "text")}
+    renamed = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in own.items()), "text", *(c.alias(a) for a, c in hashes.items()))
     found = judged(renamed, findings, threshold)
     value = F.regexp_replace("match", HEAD, "")
     put = F.when(F.col("is_secret"), F.concat(F.expr("left(match, length(match) - length(__value))"), F.lit(mask))).otherwise(F.col("match"))
     part = F.concat("before", put, F.when(F.col("last"), F.col("after")).otherwise(""))
-    rebuilt = found.withColumn("__value", value).withColumn("__part", part).groupBy("__row").agg(*(F.first(a).alias(a) for a in own.values()), F.sort_array(F.collect_list(F.struct("k", "__part"))).alias("__parts"))
-    rebuilt = rebuilt.select(*(F.col(a).alias(c) for c, a in own.items()), F.array_join(F.transform("__parts", lambda p: p["__part"]), "").alias("text"))
-    return clean.select(*docs.columns).unionByName(rebuilt.select(*docs.columns))
+    rebuilt = found.withColumn("__value", value).withColumn("__part", part).groupBy("__row").agg(*(F.first(a).alias(a) for a in (*own.values(), *hashes)), F.sort_array(F.collect_list(F.struct("k", "__part"))).alias("__parts"))
+    rebuilt = saved(rebuilt.withColumn("text", F.array_join(F.transform("__parts", lambda p: p["__part"]), "")).drop("__parts", "__row"))
+    keys = saved(rebuilt.select(*hashes).distinct())
+    if fits_broadcast(keys, 48):
+        clean = renamed.join(F.broadcast(keys), [*hashes], "left_anti")
+    else:
+        clean = renamed.filter(F.col("text").isNull() | ~F.col("text").rlike(CANDIDATE))
+    columns = [F.col(own.get(c, c)).alias(c) for c in docs.columns]
+    return reading(clean.select(*columns).unionByName(rebuilt.select(*columns)), rebuilt, keys)

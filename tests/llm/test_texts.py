@@ -251,7 +251,9 @@ def test_a_hash_of_a_run_does_not_depend_on_its_place():
 HEX = "9fceb02d0ae598e95dc970b74767f19372d61af8"
 
 
-def test_secrets(spark):
+@pytest.mark.parametrize("broadcast", [common.BROADCAST_BYTES, 0])
+def test_secrets(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast)
     rows = [
         (1, f'before token = "{HEX}" after'), (2, f"É 😀 password: '{HEX[:20]}Q' and TOKEN = \"{HEX.upper()}\""), (3, "set api_key = your_api_key_here please"), (4, "AKIA" + "Q7X2M9K4T8B3V6N1 end"),
         (5, "no secret here"), (6, None), (7, ""), (8, "password = process.env.PASSWORD_VALUE"), (9, ("words " * 20_000) + f'token = "{HEX}"'), (1, f'before token = "{HEX}" after'),
