@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findery.llm.clusters import components, links_within
-from findery.llm.common import groups, saved, tidy
+from findery.llm.common import discard, groups, hot_keys, reading, replicated, salted, saved, tidy
 
 THRESHOLD = 0.93
 NEIGHBOURS = 8
@@ -163,8 +163,9 @@ def refined(graph: DataFrame, records: DataFrame, k: int, threshold: float) -> D
     both = best_lists(graph.unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "s", "fresh")), 2 * k, threshold)
     changed = both.groupBy("u").agg(F.max("fresh").alias("any")).filter("any").select(F.col("u").alias("w"))
     lists = both.join(changed, F.col("u") == F.col("w"), "left_semi")
-    known = records.select(F.col("rec").alias("r"), "low").join(ends.select(F.col("u").alias("e"), "worst"), F.col("r") == F.col("e"), "left").drop("e")
-    sent = lists.join(known, lists.v == known.r).select("u", "v", "fresh", "low", "worst")
+    known = records.select(F.col("rec").alias("v"), "low").join(ends.select(F.col("u").alias("v"), "worst"), "v", "left")
+    hot, salts = hot_keys(graph.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "v")  # records that stand in very many lists
+    sent = salted(lists, "v", "u", hot, salts).join(replicated(known, "v", hot, salts), ["v", "__salt"]).select("u", "v", "fresh", "low", "worst")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -195,7 +196,8 @@ def nn_descent(records: DataFrame, n: int, most_of_label: int, seed: int, k: int
     graph = saved(best_lists(first_graph(records, bits, seed, k).withColumn("fresh", F.lit(True)), k, threshold))
     for _ in range(ROUNDS):
         merged = graph.withColumn("fresh", F.lit(False)).unionByName(refined(graph, records, k, threshold))
-        graph = saved(best_lists(merged, k, threshold))
+        before, graph = graph, saved(best_lists(merged, k, threshold))
+        discard(before)
         if graph.filter("fresh").count() <= SETTLED * n * k:
             break
     return graph
@@ -312,9 +314,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
         heads = named.groupBy("component").agg(F.min("first").alias("least"))
         group_of = named.join(heads, "component").select("rec", F.col("least.vec_id").alias("component_id"))
         all_ = records.select("rec", F.col("first.vec_id").alias("own"), "size").join(links, "rec", "left").join(group_of, "rec", "left")
-        by_rec = saved(all_.select("rec", F.coalesce("component_id", "own").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links")))
+        by_rec = saved(all_.select("rec", "size", F.coalesce("component_id", "own").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links")))
         if attempt == MOST_ATTEMPTS or audited(rows, by_rec, threshold) >= RECALL:
             break
-    out = rows.select("vec_id", "rec").join(by_rec, "rec", "left")
-    own = F.when(F.col("rec").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
+    hot, salts = hot_keys(by_rec.select("rec", F.col("size").alias("n")), "rec")
+    # vectors that link with nothing have no record and are dealt by their own id
+    alone = F.col("rec").isNull()
+    out = salted(rows.select("vec_id", "rec", F.coalesce("rec", F.xxhash64("vec_id")).alias("by")), "by", "vec_id", hot, salts)
+    out = out.join(replicated(by_rec.drop("size").withColumnRenamed("rec", "by"), "by", hot, salts), ["by", "__salt"], "left")
+    own = F.when(alone, F.col("vec_id")).otherwise(F.col("component_id"))
+    out = out.select("vec_id", F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
+    return reading(out, rows, by_rec)

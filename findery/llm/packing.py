@@ -23,7 +23,7 @@ from findery.llm.word_bpe import word_bpe
 
 CAPACITY = 4096
 EOS = 2
-WINDOW_TOKENS = 1 << 21
+WINDOW_TOKENS = 1 << 20
 OPEN = 0.02
 SEQUENCES_PER_PARTITION = 1 << 33
 
@@ -194,7 +194,7 @@ def token_matrix(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eos:
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = "<u2" if word_bpe(tokenizer).whole.get_vocab_size() <= 1 << 16 else "<u4"
+        kind = "<u2" if word_bpe(tokenizer).vocabulary <= 1 << 16 else "<u4"
         for t in packed_windows(batches, word_bpe(tokenizer).encode, capacity, eos, window_tokens):
             t = t.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
             sequence, length = t.column("sequence_id").to_numpy(), t.column("length").to_numpy()

@@ -16,7 +16,7 @@ import os
 import re
 import unicodedata
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
@@ -24,8 +24,8 @@ import regex
 #: The vocabulary's pre-token pattern.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = b"\xff"  # stands for the end-of-word suffix; never part of UTF-8
-KEPT_CHUNKS = 250_000
-KEPT_BYTES = 25_000_000
+KEPT_CHUNKS = 150_000
+KEPT_BYTES = 15_000_000
 ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")
 
 
@@ -41,10 +41,8 @@ class WordBpe(dict):
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
         to_byte, suffix = _byte_of(), "</w>"
         ranks: dict[bytes, int] = {}
@@ -52,6 +50,7 @@ class WordBpe(dict):
             body, end = (token[: -len(suffix)], END) if token.endswith(suffix) and token != suffix else (token, b"")
             if all(c in to_byte for c in body):
                 ranks[bytes(to_byte[c] for c in body) + end] = i
+        self.vocabulary = len(vocab)
         ranks = {t: i for t, i in ranks.items() if t not in (END, END * 2)}  # that byte can't occur
         if any(i < 512 for t, i in ranks.items() if len(t.removesuffix(END)) > 1) or any(i < 256 for t, i in ranks.items() if t.endswith(END)):
             raise ValueError("the vocabulary doesn't begin with the bytes and then the bytes that end a word")
@@ -61,6 +60,14 @@ class WordBpe(dict):
         self.split = regex.compile(PRE_TOKENS).findall
         self.size = 0
 
+    @cached_property
+    def whole(self):
+        """The tokenizers library's own; loaded for the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        return Tokenizer.from_file(self.path)
+
     def merged(self, chunk: str) -> bytes:
         if chunk.isascii():
             text = chunk.lower()
