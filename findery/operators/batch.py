@@ -169,16 +169,25 @@ def lexical_list(values: DataFrame, queries: list[dict[str, int]]) -> ScoreList:
         for t, n in q.items():
             weight[terms[t], j] = n
 
+    has = (weight > 0).astype(np.float32)
+
     def score(t: pa.Table) -> Scored:
         ids = t.column("doc_id").to_numpy(zero_copy_only=False)
         first = np.concatenate(([True], ids[1:] != ids[:-1]))
-        v = np.zeros((int(first.sum()), len(terms)))
+        row, value = np.cumsum(first) - 1, t.column("value").to_numpy()
         at = np.fromiter((terms[x] for x in t.column("term").to_pylist()), np.int64, t.num_rows)
-        np.add.at(v, (np.cumsum(first) - 1, at), t.column("value").to_numpy())
-        return ids[first], np.round(v @ weight, scoring.DIGITS), (v > 0).astype(np.float32) @ (weight > 0).astype(np.float32) > 0
+        n = int(first.sum())
+        s, there = np.empty((n, len(queries))), np.empty((n, len(queries)), bool)
+        step = max(1, CELLS // max(1, len(terms)))
+        for a in range(0, n, step):  # of the wide matrix only so many cells at once
+            x, y = np.searchsorted(row, [a, a + step])
+            v = np.zeros((min(step, n - a), len(terms)))
+            np.add.at(v, (row[x:y] - a, at[x:y]), value[x:y])
+            s[a : a + step], there[a : a + step] = v @ weight, (v > 0).astype(np.float32) @ has > 0
+        return ids[first], np.round(s, scoring.DIGITS), there
 
     rows = values.select("doc_id", "term", "value").repartition("doc_id").sortWithinPartitions("doc_id")
-    return ScoreList(rows, score, len(queries), max(1, min(8 * CHUNK, CELLS // max(1, len(terms), len(queries)))))
+    return ScoreList(rows, score, len(queries), max(1, min(16 * CHUNK, 4 * CELLS // max(1, len(queries)))))
 
 
 def fused_best(lexical: ScoreList, vector: ScoreList, k: int, rrf_k: int) -> list[list[tuple[str, float | None, float | None, float]]]:
