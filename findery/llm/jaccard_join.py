@@ -5,8 +5,9 @@ coordinate with its value. From the root, each node of the path tree samples abo
 hash of its path, and a record follows those that it shares with others: children are (path, coordinate, value). Nodes
 of at most BUCKET records are compared by brute force; larger ones are split on further tokens, unless the last split
 parted them from less than half of its node (near copies share most tokens): those are compared in blocks, as are all
-at DEPTH. Runs are independent, and as many are made as bring a pair at the threshold to the target recall: a pair must
-survive every split, so records that were in large nodes get more runs, by the deepest level reached. A sample of
+at DEPTH. Runs are independent, and as many are made as bring a pair at the threshold to the target recall, even if a
+share of CROWDED of its coordinates lead to large nodes. A pair must survive every split, so records with a larger share
+get more runs, by the deepest level reached. A sample of
 documents is held against all others on the way; while its recall is under AUDITED, the runs are doubled.
 The comparisons only mark candidates (8-bit tokens, a bound of 4.5 standard deviations below the threshold) and join
 them to clusters; within clusters every pair is then decided by its exact Jaccard similarity.
@@ -32,6 +33,7 @@ BUCKET = 1024
 DEPTH = 6
 KEPT = 0.5  # a split that leaves more than this share of its node together isn't followed by another
 TARGET_RECALL = 0.9999
+CROWDED = 0.25  # with a larger share of its nodes large, a record gets the runs of the deepest level
 AUDIT, AUDITED, MOST_RUNS = 256, 0.99, 1 << 12
 _rng = np.random.default_rng(5)
 FACTORS = _rng.integers(0, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -46,21 +48,21 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
     return least.astype("<u4")
 
 
-def loss(similarity: float, depth: int, runs: int) -> float:
-    """Probability that a pair at the threshold survives `depth` splits in none of the runs, over its number of equal coordinates."""
+def loss(similarity: float, depth: int, runs: int, large: int = 0) -> float:
+    """Probability that a pair at the threshold survives `depth` splits in none of the runs, over its number of equal coordinates, of which `large` don't help."""
     lost = 0.0
     for equal in range(COORDINATES + 1):
         survives = 1.0
         for _ in range(depth):
-            survives = 1 - (1 - min(1.0, 1 / (similarity * COORDINATES)) * survives) ** equal
+            survives = 1 - (1 - min(1.0, 1 / (similarity * COORDINATES)) * survives) ** max(0, equal - large)
         lost += math.comb(COORDINATES, equal) * similarity**equal * (1 - similarity) ** (COORDINATES - equal) * (1 - survives) ** runs
     return lost
 
 
-def runs_for(most_lost: float, similarity: float, depth: int) -> int:
-    if most_lost <= loss(similarity, depth, 1 << 20):
+def runs_for(most_lost: float, similarity: float, depth: int, large: int = 0) -> int:
+    if most_lost <= loss(similarity, depth, 1 << 20, large):
         raise ValueError("no number of runs reaches this recall")
-    return next(n for n in range(1, 1 << 20) if loss(similarity, depth, n) <= most_lost)
+    return next(n for n in range(1, 1 << 20) if loss(similarity, depth, n, large) <= most_lost)
 
 
 def least_matches(similarity: float) -> int:
@@ -124,7 +126,7 @@ def records_of(docs: DataFrame, n: int, sample: Sample) -> DataFrame:
 
 
 def split(state: DataFrame, similarity: float) -> DataFrame:
-    """One level down: (path, rec, sig, up) -> (path, rec, sig, up). up: how many records the node split has."""
+    """One level down: (path, rec, sig, up) -> (path, rec, sig, up, low). up: how many records the node split has; low: the low bytes of sig's values."""
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -132,10 +134,11 @@ def split(state: DataFrame, similarity: float) -> DataFrame:
                 batch = whole.slice(a, 4096)
                 sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, COORDINATES)
                 row, path = children(batch.column("path").to_numpy().view(np.uint64), sig, similarity)
-                at = pa.array(row)
-                yield pa.record_batch([pa.array(path.view(np.int64)), batch.column("rec").take(at), batch.column("sig").take(at), batch.column("up").take(at)], names=["path", "rec", "sig", "up"])
+                at, low8 = pa.array(row), np.ascontiguousarray(sig.astype(np.uint8))
+                low = pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDINATES), batch.num_rows, [None, pa.py_buffer(low8)]).cast(pa.binary())
+                yield pa.record_batch([pa.array(path.view(np.int64)), *(batch.column(c).take(at) for c in ("rec", "sig", "up")), low.take(at)], names=["path", "rec", "sig", "up", "low"])
 
-    return state.select("path", "rec", "sig", "up").mapInArrow(tidy(down), "path long, rec long, sig binary, up long")
+    return state.select("path", "rec", "sig", "up").mapInArrow(tidy(down), "path long, rec long, sig binary, up long, low binary")
 
 
 def candidates(keyed: DataFrame, keys: list[str], least: int, parts: int) -> DataFrame:
@@ -170,28 +173,12 @@ def candidates(keyed: DataFrame, keys: list[str], least: int, parts: int) -> Dat
     return keyed.repartition(parts, *keys).sortWithinPartitions(*keys, "rec").mapInArrow(tidy(compare), "a long, b long")
 
 
-def only_low(state: DataFrame) -> DataFrame:
-    """Replaces sig by its values' low bytes, as the last column."""
-    others = [c for c in state.columns if c not in ("sig", "up")]
-
-    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(batch.num_rows, 4 * COORDINATES)
-            low8 = np.ascontiguousarray(sig[:, ::4])
-            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDINATES), batch.num_rows, [None, pa.py_buffer(low8)]).cast(pa.binary())
-            yield pa.record_batch([*(batch.column(c) for c in others), flat], names=[*others, "low"])
-
-    kinds = dict(state.dtypes)
-    return state.select(*others, "sig").mapInArrow(tidy(low), ", ".join(f"{c} {kinds[c]}" for c in others) + ", low binary")
-
-
-def chosen_paths(records: DataFrame, similarity: float, runs: range) -> tuple[DataFrame, range]:
-    """Candidate edges (a, b) between records (rec, sig) by these runs, and by more for the records of large nodes: loss() at the
-    deepest level that they reached stays what it is for the others at the first. Also the range of all runs made."""
-    lost = loss(similarity, 1, len(runs))
+def chosen_paths(records: DataFrame, similarity: float, runs: range, most_lost: float) -> tuple[DataFrame, range]:
+    """Candidate edges (a, b) between records (rec, sig) by these runs, and by more for crowded records, so that at the deepest
+    level that they reached no more than `most_lost` of the pairs at the threshold are lost. Also the range of all runs made."""
     edges, depth, crowded = descend(records, runs, similarity)
     made = runs
-    while crowded is not None and (need := runs_for(lost, similarity, depth)) > len(made):
+    while crowded is not None and (need := runs_for(most_lost, similarity, depth)) > len(made):
         more = range(made.stop, made.start + need)
         again, deepest, _ = descend(records.join(crowded, "rec", "left_semi"), more, similarity)
         edges, depth, made = edges.unionByName(again), max(depth, deepest), range(made.start, more.stop)
@@ -210,7 +197,7 @@ def of_nodes(state: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def descend(records: DataFrame, runs: range, similarity: float) -> tuple[DataFrame, int, DataFrame | None]:
-    """Edges of these runs, the deepest level reached, and the records (rec) of large nodes, if any."""
+    """Edges of these runs, the deepest level reached, and the crowded records (rec), if any node was large."""
     crowded = None
     spark = records.sparkSession
     parts, least = int(spark.conf.get("spark.sql.shuffle.partitions")), least_matches(similarity)
@@ -227,17 +214,17 @@ def descend(records: DataFrame, runs: range, similarity: float) -> tuple[DataFra
         n_large, n_split = large.agg(F.count(F.lit(1)), F.count(F.when(~F.col("whole"), 1))).head()
         if n_large:
             of_large = F.broadcast(large) if fits_broadcast(large, 48) else large
-            edges.append(saved(candidates(only_low(state.join(of_large.select("path"), "path", "left_anti")), ["path"], least, parts)))
+            edges.append(saved(candidates(state.join(of_large.select("path"), "path", "left_anti").select("path", "rec", "low"), ["path"], least, parts)))
         else:
-            edges.append(saved(candidates(only_low(state), ["path"], least, parts)))
+            edges.append(saved(candidates(state.select("path", "rec", "low"), ["path"], least, parts)))
             discard(state, large)
             break
         crowd = saved(of_nodes(state.drop("up"), large))
         if level == 1:
-            crowded = saved(crowd.select("rec").distinct())
+            crowded = saved(crowd.groupBy("rec").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWDED * len(runs) / similarity).select("rec"))
         chunks = F.ceil(F.col("n") / BUCKET).cast("int")
         side = crowd.filter("whole").withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("rec"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        side = only_low(side.select("path", "rec", "sig", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j")))
+        side = side.select("path", "rec", "low", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"))
         edges.append(saved(candidates(side, ["path", "i", "j"], least, parts)))
         state, done = saved(crowd.filter("not whole").select("path", "rec", "sig", F.col("n").alias("up"))), state
         discard(done, crowd, large)
@@ -290,9 +277,9 @@ def ngram_jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, n: int =
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     classes = saved(rows.filter("rec is not null").groupBy("rec").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size"), F.first("sig").alias("sig")))
     made, edges = range(1, 1), None
-    runs = range(1, runs_for(1 - target, similarity, 1) + 1)
+    runs = range(1, runs_for(1 - target, similarity, 1, int(CROWDED * COORDINATES)) + 1)
     while True:
-        more, made = chosen_paths(classes.select("rec", "sig"), similarity, runs)
+        more, made = chosen_paths(classes.select("rec", "sig"), similarity, runs, 1 - target)
         edges, old = more if edges is None else saved(edges.unionByName(more).distinct()), edges
         if old is not None:
             discard(old, more)

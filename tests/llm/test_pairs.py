@@ -79,7 +79,7 @@ def test_pairs_of_large_nodes_reach_the_recall(spark, monkeypatch, kept):
     a = r.integers(0, 1 << 32, (400, 64), np.uint32)
     b = np.where(r.random(a.shape) < 0.8, a, r.integers(0, 1 << 32, a.shape, np.uint32))
     rows = [(2 * i + j, x[i].astype("<u4").tobytes()) for i in range(400) for j, x in enumerate((a, b))]
-    edges, _ = jaccard_join.chosen_paths(spark.createDataFrame(rows, "rec long, sig binary"), 0.8, range(1, 1 + jaccard_join.runs_for(1e-4, 0.8, 1)))
+    edges, _ = jaccard_join.chosen_paths(spark.createDataFrame(rows, "rec long, sig binary"), 0.8, range(1, 1 + jaccard_join.runs_for(1e-4, 0.8, 1)), 1e-4)
     found = {(min(e), max(e)) for e in edges.collect()}
     assert found == {(2 * i, 2 * i + 1) for i in range(400)}
 
@@ -113,9 +113,9 @@ def test_recall_by_level_of_exact_sets(depth):
 def test_too_few_runs_are_noticed(spark, monkeypatch):
     real, made = jaccard_join.chosen_paths, []
 
-    def poor(records, similarity, runs):
+    def poor(records, similarity, runs, most_lost):
         made.append(runs)
-        edges, all_ = real(records, similarity, runs)
+        edges, all_ = real(records, similarity, runs, most_lost)
         return (edges.filter("false"), all_) if len(made) == 1 else (edges, all_)
 
     monkeypatch.setattr(jaccard_join, "chosen_paths", poor)
